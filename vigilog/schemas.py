@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 _ISSUER = (
     "type string, principalId string, arn string, accountId string, userName string"
 )
 
-AUDIT_EVENT_DDL = f"""
+_EVENT = f"""
     eventVersion string, eventID string, eventType string, eventTime string,
     eventSource string, eventName string, awsRegion string,
     sourceIPAddress string, userAgent string, recipientAccountId string,
@@ -20,11 +18,11 @@ AUDIT_EVENT_DDL = f"""
     requestParameters string, responseElements string,
     resources array<struct<arn string, accountId string, type string>>
 """
-AUDIT_EVENT = T.StructType.fromDDL(" ".join(AUDIT_EVENT_DDL.split()))
+AUDIT_EVENT = " ".join(_EVENT.split())
 
-# The access-log columns and the token each one is read from.
+# The access-log columns.
 ACCESS_LOG_COLUMNS = ["bucketOwner", "bucket", "date", "ip", "requester", "operation", "key"]
-ACCESS_LOG = T.StructType([T.StructField(c, T.StringType(), True) for c in ACCESS_LOG_COLUMNS])
+ACCESS_LOG = ", ".join(f"{c} string" for c in ACCESS_LOG_COLUMNS)
 
 REJECTS = "source string, line string, reason string"
 OBSERVED = "field string, value string, is_new boolean"
