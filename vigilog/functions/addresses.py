@@ -19,25 +19,32 @@ from pyspark.sql import functions as F
 V4_BASE = 0xFFFF << 32
 V4_MAX_CHARS = 15
 
-_OCTETS = r"split({a}, '[.]')"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+QUAD = f"^{_OCTET}(?:[.]{_OCTET}){{3}}$"
+PARTS = "^[0-9]+(?:[.][0-9]+){0,3}$"
 
 
 def v4_sql(a: str) -> str:
     """Dotted decimal to bigint. One to four parts; the last fills the rest."""
-    p = _OCTETS.format(a=a)
-    part = [f"try_cast(get({p}, {i}) AS bigint)" for i in range(4)]
+    # Plain quads first: nearly all text, and one pattern checks them whole.
+    return (
+        f"CASE WHEN {a} RLIKE '{QUAD}' THEN "
+        f"aggregate(split({a}, '[.]'), 0L, (v, p) -> v * 256 + cast(p AS bigint)) "
+        f"WHEN {a} RLIKE '{PARTS}' AND length({a}) <= {V4_MAX_CHARS} THEN {_v4_parts_sql(a)} END"
+    )
+
+
+def _v4_parts_sql(a: str) -> str:
     branches = []
     for n in (4, 3, 2, 1):
         room = 1 << (8 * (5 - n))
-        fits = [f"{part[i]} < 256" for i in range(n - 1)] + [f"{part[n - 1]} < {room}"]
+        fits = [f"get(p, {i}) < 256" for i in range(n - 1)] + [f"get(p, {n - 1}) < {room}"]
         total = " + ".join(
-            [f"{part[i]} * {1 << (24 - 8 * i)}" for i in range(n - 1)] + [part[n - 1]]
+            [f"get(p, {i}) * {1 << (24 - 8 * i)}" for i in range(n - 1)] + [f"get(p, {n - 1})"]
         )
-        branches.append(f"WHEN size({p}) = {n} AND {' AND '.join(fits)} THEN {total}")
-    return (
-        f"CASE WHEN NOT ({a} RLIKE '^[0-9]+([.][0-9]+){{0,3}}$') "
-        f"OR length({a}) > {V4_MAX_CHARS} THEN NULL {' '.join(branches)} END"
-    )
+        branches.append(f"WHEN size(p) = {n} AND {' AND '.join(fits)} THEN {total}")
+    parts = f"transform(split({a}, '[.]'), x -> cast(x AS bigint))"
+    return f"transform(array({parts}), p -> CASE {' '.join(branches)} END)[0]"
 
 
 def _v6_text_sql(a: str) -> str:
@@ -74,19 +81,18 @@ def _v6_hex_sql(t: str) -> str:
 def address_sql(a: str) -> str:
     """Struct ``(hi, lo)`` of address text, or null."""
     v6 = _v6_hex_sql("x")
-    # The lambdas run only for text with a colon; dotted text stays in codegen.
+    # One-element arrays stand in for let-bindings.
     v6_struct = (
         f"transform(transform(array({_v6_text_sql(a)}), x -> {v6}), "
         "d -> CASE WHEN d IS NOT NULL THEN named_struct("
         "'hi', cast(conv(left(d, 16), 16, -10) AS bigint), "
         "'lo', cast(conv(right(d, 16), 16, -10) AS bigint)) END)[0]"
     )
-    v4 = v4_sql(a)
-    return (
-        f"CASE WHEN {a} LIKE '%:%' THEN {v6_struct} "
-        f"WHEN ({v4}) IS NOT NULL THEN named_struct("
-        f"'hi', 0L, 'lo', ({v4}) + {V4_BASE}L) END"
+    v4_struct = (
+        f"transform(array({v4_sql(a)}), v -> CASE WHEN v IS NOT NULL THEN "
+        f"named_struct('hi', 0L, 'lo', v + {V4_BASE}L) END)[0]"
     )
+    return f"CASE WHEN {a} LIKE '%:%' THEN {v6_struct} ELSE {v4_struct} END"
 
 
 def parse_address(column: str) -> Column:

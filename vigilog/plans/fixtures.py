@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events``, spread over the cores where it is a file no task can split."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _json(**members: str) -> str:
     """SQL text of a JSON object; values are SQL, quoted unless they are JSON."""
     parts = []
@@ -61,7 +68,7 @@ _EVENT = _json(
 
 def audit_event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, batch_id, event_json)``: one event per row of ``events``."""
-    return table(spark, sf_dir, "events").select(
+    return event_rows(spark, sf_dir).select(
         "event_id",
         F.expr(f"event_id div {EVENTS_PER_BATCH}").alias("batch_id"),
         F.expr(_EVENT).alias("event_json"),
