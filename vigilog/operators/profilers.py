@@ -96,6 +96,7 @@ def enriched(
     profilers: list[Profiler],
     blocks: DataFrame | None = None,
     nodes: DataFrame | None = None,
+    lengths: dict[str, list[int]] | None = None,
 ) -> DataFrame:
     """Adds the columns the profilers ask for. ``observed`` must be distinct.
 
@@ -106,7 +107,8 @@ def enriched(
     if any(p.uses("city", "country") for p in profilers):
         if blocks is None:
             raise ValueError("a profiler needs city or country, but no blocks were given")
-        observed = geo_lookup(observed.withColumn("_ip", address), "_ip", blocks).drop("_ip")
+        addressed = observed.withColumn("_ip", address)
+        observed = geo_lookup(addressed, "_ip", blocks, lengths).drop("_ip")
     if any(p.uses("is_exit") for p in profilers):
         if nodes is None:
             raise ValueError("a profiler needs is_exit, but no exit nodes were given")

@@ -14,7 +14,7 @@ from vigilog.operators.geo import blocks_from_ranges
 from vigilog.sources.exit_nodes import exit_nodes
 
 EVENTS_PER_BATCH = 50
-ARRIVALS = 8
+ARRIVALS = 6
 
 _ACCOUNT = "cast(100000000000 + user_id % 5 AS string)"
 _KEY = (

@@ -268,7 +268,7 @@ _TOR_TEXT = (
     "'Activity on your AWS resources has been seen from ' || value || ' which is a Tor exit node.' AS body"
 )
 
-ARRIVAL = "event_id * 8 // (SELECT max(event_id) + 1 FROM events)"
+ARRIVAL = "event_id * 6 // (SELECT max(event_id) + 1 FROM events)"
 
 
 def _status(batches: str, extra: str = "") -> str:

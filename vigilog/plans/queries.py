@@ -22,7 +22,7 @@ from vigilog.operators.exits import from_exit_nodes, with_exit_flag
 from vigilog.operators.geo import geo_lookup, register_geo_functions
 from vigilog.plans import fixtures
 from vigilog.plans.tables import ACCESS_TABLE, AUDIT_TABLE, register, save_table
-from vigilog.session import run_folder
+from vigilog.session import run_folder, staged
 from vigilog.sources import access, audit, notifications
 from vigilog.sources.exit_nodes import exit_node_rejects
 from vigilog.streaming import replay
@@ -191,7 +191,7 @@ def observed(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> Data
     return P.observations(fixtures.audit_event_texts(spark, sf_dir), P.profiled_fields(chosen))
 
 
-def seen(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> DataFrame:
+def seen_once(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> DataFrame:
     """What the chosen profilers saw, with only the lookups they need."""
     geo = any(p.uses("city", "country") for p in chosen)
     tor = any(p.uses("is_exit") for p in chosen)
@@ -203,19 +203,24 @@ def seen(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> DataFram
     )
 
 
+def seen(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> DataFrame:
+    """The same as a table: profile steps read it repeatedly, the events only once."""
+    return staged(seen_once(spark, sf_dir, chosen), "seen")
+
+
 def obs_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir, ALL_PROFILERS)
 
 
 def obs_profiler_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen(spark, sf_dir, ALL_PROFILERS)
+    return seen_once(spark, sf_dir, ALL_PROFILERS)
 
 
 # --- profiles and alerts -----------------------------------------------------
 
 
 def profile_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.first_seen(seen(spark, sf_dir, ALL_PROFILERS))
+    return profiles.first_seen(seen_once(spark, sf_dir, ALL_PROFILERS))
 
 
 def profile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +270,7 @@ def alerts_of(profiler: P.Profiler) -> Query:
 
 
 def alerts_tor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sighting_messages(profiles.sightings(seen(spark, sf_dir, [P.TOR_PROFILER])))
+    return sighting_messages(profiles.sightings(seen_once(spark, sf_dir, [P.TOR_PROFILER])))
 
 
 def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

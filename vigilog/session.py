@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the jobs are written for. Adaptive execution picks join strategies
 #: from measured sizes, splits skewed join keys and merges small partitions.
@@ -55,3 +55,14 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unique folder below the shared one."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, computed once and read back.
+
+    For results that several later steps read and that cost a pass over the raw
+    logs. Being on shared storage, it also outlives lost executors.
+    """
+    folder = run_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog import schemas
 from vigilog.operators.alerts import deviation_messages, sections_of, sighting_messages
+from vigilog.operators.geo import prefix_lengths
 from vigilog.operators.profilers import (
     DEFAULT_PROFILERS,
     DEVIATION,
@@ -71,6 +72,8 @@ class Analyzer:
         self.profilers = profilers
         self.blocks = blocks
         self.nodes = nodes
+        # Known ahead for blocks that stay the same; otherwise found per batch.
+        self.lengths = prefix_lengths(blocks) if isinstance(blocks, DataFrame) else None
         self.plain = [p.name for p in profilers if p.keeps_value]
         self.derived = [p.name for p in profilers if p.kind == DEVIATION and not p.keeps_value]
 
@@ -81,7 +84,9 @@ class Analyzer:
         )
         shown = (
             expanded(
-                enriched(observed, self.profilers, _now(self.blocks), _now(self.nodes)),
+                enriched(
+                    observed, self.profilers, _now(self.blocks), _now(self.nodes), self.lengths
+                ),
                 self.profilers,
                 "is_new",
             )
@@ -105,6 +110,13 @@ class Analyzer:
             F.when(unchanged, F.col("is_new")).otherwise(F.col("known").isNull()).alias("is_new"),
         )
 
+    def counts(self) -> list[Column]:
+        """Values shown and new values, per profiler."""
+        each = {p.name: F.col("profiler") == p.name for p in self.profilers}
+        return [F.count_if(c).alias(f"shown {name}") for name, c in each.items()] + [
+            F.count_if(c & F.col("is_new")).alias(f"new {name}") for name, c in each.items()
+        ]
+
     def update(self, touched: DataFrame, n: int) -> None:
         spark, store = self.store.spark, self.store
         before = store.previous_status(n)
@@ -113,15 +125,11 @@ class Analyzer:
             store.merge_profile(n, base)
             base = n
 
-        # Written once, then read back: the stateful plan runs a single time.
-        store.write("judged", n, self.judge(touched, n, base))
-        judged = store.read("judged", n)
-        counts = {
-            r.profiler: r
-            for r in judged.groupBy("profiler")
-            .agg(F.count("*").alias("shown"), F.count_if("is_new").alias("new"))
-            .collect()
-        }
+        # Written once, counted on the way, then read back: the stateful plan
+        # runs a single time.
+        seen = Observation()
+        store.write("judged", n, self.judge(touched, n, base).observe(seen, *self.counts()))
+        judged, counts = store.read("judged", n), seen.get
         store.write_profile(
             n,
             judged.filter((F.col("kind") == DEVIATION) & F.col("is_new")).select(
@@ -131,9 +139,9 @@ class Analyzer:
 
         status, alerts = [], []
         for p in self.profilers:
-            old, found = before.get(p.name), counts.get(p.name)
+            old = before.get(p.name)
             size = old.profile_size if old else 0
-            shown, new = (found.shown, found.new) if found else (0, 0)
+            shown, new = counts[f"shown {p.name}"], counts[f"new {p.name}"]
             if p.kind == DEVIATION:
                 sent = 1 if size and new else 0
                 if sent:

@@ -57,14 +57,14 @@ class Store:
         ``base`` names the merged copy of all batches below it. Only folders of
         the wanted profilers are read.
         """
-        parts = [f"{self.root}/merged/upto={base}"] if base else []
-        parts += [self.folder("profile", b) for b in range(base, before)]
+        reader = self.spark.read.schema(schemas.PROFILE)
         held = self.spark.createDataFrame([], schemas.PROFILE)
-        if parts:
-            # Each folder is its own root: what partitions it is the profiler.
-            found = [self.spark.read.schema(schemas.PROFILE).parquet(p) for p in parts]
-            for one in found:
-                held = held.unionByName(one)
+        if base:
+            held = reader.parquet(f"{self.root}/merged/upto={base}")
+        if before > base:
+            since = [self.folder("profile", b) for b in range(base, before)]
+            added = reader.option("basePath", f"{self.root}/profile").parquet(*since)
+            held = held.unionByName(added.select(held.columns))
         return held if profilers is None else held.filter(F.col("profiler").isin(profilers))
 
     def merge_profile(self, before: int, base: int) -> None:
