@@ -11,7 +11,7 @@ need them in that form; ``{a}`` stands for the argument.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The top half-word of the IPv4-mapped range ::ffff:0:0/96, and
@@ -44,7 +44,7 @@ def _v4_parts_sql(a: str) -> str:
         )
         branches.append(f"WHEN size(p) = {n} AND {' AND '.join(fits)} THEN {total}")
     parts = f"transform(split({a}, '[.]'), x -> cast(x AS bigint))"
-    return f"transform(array({parts}), p -> CASE {' '.join(branches)} END)[0]"
+    return _let(parts, "p", f"CASE {' '.join(branches)} END")
 
 
 def _v6_text_sql(a: str) -> str:
@@ -78,21 +78,30 @@ def _v6_hex_sql(t: str) -> str:
     )
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once.
+
+    A one-element array does the binding. Without it every mention of the
+    argument would repeat whatever expression stands behind it.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def address_sql(a: str) -> str:
     """Struct ``(hi, lo)`` of address text, or null."""
-    v6 = _v6_hex_sql("x")
-    # One-element arrays stand in for let-bindings.
-    v6_struct = (
-        f"transform(transform(array({_v6_text_sql(a)}), x -> {v6}), "
-        "d -> CASE WHEN d IS NOT NULL THEN named_struct("
+    v6 = _let(
+        _let(_v6_text_sql("s"), "t", _v6_hex_sql("t")),
+        "d",
+        "CASE WHEN d IS NOT NULL THEN named_struct("
         "'hi', cast(conv(left(d, 16), 16, -10) AS bigint), "
-        "'lo', cast(conv(right(d, 16), 16, -10) AS bigint)) END)[0]"
+        "'lo', cast(conv(right(d, 16), 16, -10) AS bigint)) END",
     )
-    v4_struct = (
-        f"transform(array({v4_sql(a)}), v -> CASE WHEN v IS NOT NULL THEN "
-        f"named_struct('hi', 0L, 'lo', v + {V4_BASE}L) END)[0]"
+    v4 = _let(
+        v4_sql("s"),
+        "v",
+        f"CASE WHEN v IS NOT NULL THEN named_struct('hi', 0L, 'lo', v + {V4_BASE}L) END",
     )
-    return f"CASE WHEN {a} LIKE '%:%' THEN {v6_struct} ELSE {v4_struct} END"
+    return _let(a, "s", f"CASE WHEN s LIKE '%:%' THEN {v6} ELSE {v4} END")
 
 
 def parse_address(column: str) -> Column:
@@ -102,11 +111,17 @@ def parse_address(column: str) -> Column:
 
 def ip_to_long(column: str) -> Column:
     """IPv4 value of the address text (mapped IPv6 included), else null."""
-    address = parse_address(column)
-    return F.when(
-        (address["hi"] == 0) & (F.shiftright(address["lo"], 32) == 0xFFFF),
-        address["lo"] - F.lit(V4_BASE),
-    )
+    value = f"CASE WHEN {is_v4('a.hi', 'a.lo')} THEN a.lo - {V4_BASE}L END"
+    return F.expr(_let(address_sql(f"`{column}`"), "a", value))
+
+
+def with_address(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``_hi`` and ``_lo`` of an address, both null when it is none.
+
+    They come out of a generator: a test of the join key then stays above it,
+    where a projection would have the parse repeated inside a pushed-down filter.
+    """
+    return rows.select("*", F.inline(F.array(parse_address(column))).alias("_hi", "_lo"))
 
 
 def is_v4(hi: str = "hi", lo: str = "lo") -> str:

@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.functions.addresses import parse_address
+from vigilog.functions.addresses import with_address
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("hi").alias("_nhi"), F.col("lo").alias("_nlo"))
+
+
+def _same() -> Column:
+    return (F.col("_hi") == F.col("_nhi")) & (F.col("_lo") == F.col("_nlo"))
 
 
 def from_exit_nodes(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     """The rows whose address is an exit node, by value and not by spelling."""
     return (
-        rows.withColumn("_a", parse_address(column))
-        .join(
-            nodes.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo")),
-            (F.col("_a.hi") == F.col("_hi")) & (F.col("_a.lo") == F.col("_lo")),
-            "left_semi",
-        )
-        .drop("_a")
+        with_address(rows, column)
+        .join(_keyed(nodes), _same(), "left_semi")
+        .select(*rows.columns)
     )
 
 
 def with_exit_flag(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     """Adds ``is_exit``, false for bad addresses and for an empty list."""
     return (
-        rows.withColumn("_a", parse_address(column))
-        .join(
-            nodes.select(
-                F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.lit(True).alias("_exit")
-            ),
-            (F.col("_a.hi") == F.col("_hi")) & (F.col("_a.lo") == F.col("_lo")),
-            "left",
-        )
+        with_address(rows, column)
+        .join(_keyed(nodes).withColumn("_exit", F.lit(True)), _same(), "left")
         .select(*rows.columns, F.coalesce("_exit", F.lit(False)).alias("is_exit"))
     )

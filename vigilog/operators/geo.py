@@ -177,7 +177,7 @@ def register_geo_functions(
     """
     blocks.createOrReplaceTempView(view)
     lengths = prefix_lengths(blocks)
-    candidates = _candidates_sql("s.a.hi", "s.a.lo", lengths)
+    candidates = f"CASE WHEN s.a IS NOT NULL THEN {_candidates_sql('s.a.hi', 's.a.lo', lengths)} END"
     for name in ("city", "country"):
         spark.sql(
             f"""
@@ -186,7 +186,6 @@ def register_geo_functions(
               FROM (
                 SELECT explode({candidates}) AS c
                 FROM (SELECT {address_sql('ip')} AS a) s
-                WHERE s.a IS NOT NULL
               ) k
               JOIN {view} g ON g.plen = k.c.plen AND g.hi = k.c.hi AND g.lo = k.c.lo)
             """

@@ -49,7 +49,7 @@ ACCESS_IP_SQL = "select distinct ip from s3logs"
 def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view ``cloudtrail``, from log lines through to columns."""
     lines = fixtures.audit_lines(spark, sf_dir)
-    return register(audit.typed_events(audit.unnest_records(lines)), AUDIT_TABLE)
+    return register(audit.typed_records(lines), AUDIT_TABLE)
 
 
 def audit_distinct_principals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def audit_saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_folder(spark, "audit")
     objects = f"{folder}/objects"
     replay.write_objects(fixtures.audit_lines(spark, sf_dir), objects)
-    events = audit.typed_events(audit.unnest_records(audit.read_lines(spark, objects)))
+    events = audit.typed_records(audit.read_lines(spark, objects))
     name = "cloudtrailhive_" + folder.rsplit("-", 1)[-1]
     save_table(events, name, f"{folder}/table")
     return spark.sql(ROOT_USAGE_SQL.replace("cloudtrail", name))

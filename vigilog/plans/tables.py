@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.sources.access import parse_access_lines, read_access_lines
-from vigilog.sources.audit import inferred_events, read_lines, typed_events, unnest_records
+from vigilog.sources.audit import (
+    inferred_events,
+    read_lines,
+    typed_events,
+    typed_records,
+    unnest_records,
+)
 
 # The table names users query.
 AUDIT_TABLE = "cloudtrail"
@@ -16,11 +22,21 @@ SAVED_SUFFIX = "hive"
 
 
 def audit_events(
-    spark: SparkSession, paths: str | list[str], tolerant: bool = False, infer: bool = False
+    spark: SparkSession,
+    paths: str | list[str],
+    tolerant: bool = False,
+    infer: bool = False,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """The events of all audit-log objects below the paths, as columns."""
-    events = unnest_records(read_lines(spark, paths, tolerant))
-    return inferred_events(events) if infer else typed_events(events)
+    """The events of all audit-log objects below the paths, as columns.
+
+    ``keep_text`` adds the original ``event_json``; ``infer`` takes the columns
+    from the data instead of the fixed schema.
+    """
+    lines = read_lines(spark, paths, tolerant)
+    if infer:
+        return inferred_events(unnest_records(lines))
+    return typed_events(unnest_records(lines)) if keep_text else typed_records(lines)
 
 
 def register(table: DataFrame, view: str, cache: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.functions.addresses import parse_address
+from vigilog.functions.addresses import with_address
 from vigilog.functions.text import space_tokens
 from vigilog.schemas import EXIT_NODES
 
@@ -18,7 +18,7 @@ def _address_lines(lines: DataFrame) -> DataFrame:
     return (
         lines.filter(F.col("value").contains(ADDRESS_MARK))
         .select("value", F.get(space_tokens(F.col("value")), F.lit(1)).alias("ip"))
-        .select("value", "ip", parse_address("ip").alias("a"))
+        .transform(with_address, "ip")
     )
 
 
@@ -26,8 +26,8 @@ def exit_nodes(lines: DataFrame) -> DataFrame:
     """Exit addresses, each once, with the time the list was read."""
     return (
         _address_lines(lines)
-        .filter("a is not null")
-        .groupBy(F.col("a.hi").alias("hi"), F.col("a.lo").alias("lo"))
+        .filter("_hi is not null")
+        .groupBy(F.col("_hi").alias("hi"), F.col("_lo").alias("lo"))
         .agg(F.min("ip").alias("ip"))
         .select("ip", "hi", "lo", F.current_timestamp().alias("retrieved_at"))
     )
@@ -36,7 +36,7 @@ def exit_nodes(lines: DataFrame) -> DataFrame:
 def exit_node_rejects(lines: DataFrame, source: str = "exit list") -> DataFrame:
     return (
         _address_lines(lines)
-        .filter("a is null")
+        .filter("_hi is null")
         .select(
             F.lit(source).alias("source"),
             F.col("value").alias("line"),
