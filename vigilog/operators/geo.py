@@ -61,11 +61,11 @@ def blocks_from_ranges(ranges: DataFrame) -> DataFrame:
           (acc, i) -> named_struct(
             'at', acc.at + CASE WHEN
                 acc.at + shiftleft(1L, least(i, 64 - i)) <= hi + 1
-                AND (i > 32 OR (acc.at & shiftleft(1L, i)) <> 0)
+                AND (i >= 32 OR (acc.at & shiftleft(1L, i)) <> 0)
               THEN shiftleft(1L, least(i, 64 - i)) ELSE 0L END,
             'cut', CASE WHEN
                 acc.at + shiftleft(1L, least(i, 64 - i)) <= hi + 1
-                AND (i > 32 OR (acc.at & shiftleft(1L, i)) <> 0)
+                AND (i >= 32 OR (acc.at & shiftleft(1L, i)) <> 0)
               THEN concat(acc.cut,
                 array(named_struct('start', acc.at, 'k', least(i, 64 - i))))
               ELSE acc.cut END),

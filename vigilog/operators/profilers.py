@@ -79,10 +79,13 @@ def profiled_fields(profilers: list[Profiler]) -> list[str]:
 
 def field_values(events: DataFrame, fields: list[str], *carry: str) -> DataFrame:
     """``(field, value)`` of each event, each pair once per event."""
+    # An inner explode would add a pushed-down test for emptiness, and with it a
+    # second run of the function.
     return (
         with_deep_values(events.select(*carry, "event_json"), fields)
-        .select(*carry, F.explode("pairs").alias("p"))
+        .select(*carry, F.explode_outer("pairs").alias("p"))
         .select(*carry, "p.field", "p.value")
+        .filter("field is not null")
     )
 
 

@@ -32,8 +32,11 @@ def first_seen(seen: DataFrame) -> DataFrame:
 
 
 def baselines(seen: DataFrame) -> DataFrame:
-    """``(profiler, baseline)``: the batch a profile started with, which never alerts."""
-    return (
+    """``(profiler, baseline)``: the batch a profile started with, which never alerts.
+
+    One row per configured profiler, a handful, hence safe to broadcast.
+    """
+    return F.broadcast(
         seen.filter(F.col("kind") == DEVIATION)
         .groupBy("profiler")
         .agg(F.min("batch_id").alias("baseline"))

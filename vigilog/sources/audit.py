@@ -19,19 +19,21 @@ def source_catalogue(sources: DataFrame) -> DataFrame:
 def objects_of_sources(listing: DataFrame, sources: DataFrame) -> DataFrame:
     """Audit-log objects of a ``listing(bucket, key)`` that lie under any source.
 
-    The prefix is matched as a string, not as a folder. The sources of a bucket
-    are gathered into one list first, so that the join meets each object once
-    and overlapping prefixes yield it once.
+    The prefix is matched as a string, not as a folder: a key lies under a
+    prefix when its first characters are that prefix. So each key is tried at
+    every prefix length in use, which makes it an equality join however many
+    prefixes a bucket has. Key length bounds the number of lengths.
     """
-    prefixes = (
-        source_catalogue(sources)
-        .groupBy("bucket")
-        .agg(F.collect_set(F.coalesce("prefix", F.lit(""))).alias("prefixes"))
+    wanted = source_catalogue(sources).select(
+        F.col("bucket").alias("_b"), F.coalesce("prefix", F.lit("")).alias("_p")
     )
+    lengths = sorted(r.n for r in wanted.select(F.length("_p").alias("n")).distinct().collect())
     return (
         listing.filter(F.col("key").endswith(OBJECT_SUFFIX))
-        .join(prefixes, "bucket")
-        .filter(F.exists("prefixes", lambda p: F.col("key").startswith(p)))
+        .select(
+            "bucket", "key", F.explode(F.array(*[F.left("key", F.lit(n)) for n in lengths])).alias("s")
+        )
+        .join(wanted, (F.col("bucket") == F.col("_b")) & (F.col("s") == F.col("_p")), "left_semi")
         .select("bucket", "key")
         .distinct()
     )
