@@ -84,6 +84,13 @@ def as_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of one event each, which take no shuffle to make."""
+    return audit_event_texts(spark, sf_dir).select(
+        F.concat(F.lit('{"Records":['), "event_json", F.lit("]}")).alias("value")
+    )
+
+
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(audit_event_texts(spark, sf_dir)).select("value")
 

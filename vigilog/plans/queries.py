@@ -48,7 +48,7 @@ ACCESS_IP_SQL = "select distinct ip from s3logs"
 
 def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view ``cloudtrail``, from log lines through to columns."""
-    lines = fixtures.audit_lines(spark, sf_dir)
+    lines = fixtures.event_lines(spark, sf_dir)
     return register(audit.typed_records(lines), AUDIT_TABLE)
 
 
