@@ -13,6 +13,7 @@ from vigilog.operators.geo import (
     blocks_from_ranges,
     geo_lookup,
     prefix_lengths,
+    read_blocks,
     register_geo_functions,
 )
 from vigilog.sources.exit_nodes import (
@@ -181,3 +182,16 @@ def test_membership_compares_values_not_spelling(spark):
         "5.6.7.8": True, "5.6.7.9": False, "host": False, None: False,
     }
     assert not with_exit_flag(frame, "ip", no_exit_nodes(spark)).filter(F.col("is_exit")).count()
+
+
+def test_blocks_from_database_files(spark, tmp_path):
+    (tmp_path / "networks.csv").write_text(
+        "network,geoname_id,extra\n1.2.3.0/24,5,x\n2001:db8::/33,6,y\n9.0.0.0/8,,z\n"
+    )
+    (tmp_path / "names.csv").write_text("geoname_id,city_name,country_name\n5,Five,Land\n6,,Land\n")
+    blocks = read_blocks(spark, f"{tmp_path}/networks.csv", f"{tmp_path}/names.csv")
+    frame = spark.createDataFrame([("1.2.3.4",), ("2001:db8::1",), ("9.9.9.9",), ("8.8.8.8",)], "ip string")
+    assert rows(geo_lookup(frame.distinct(), "ip", blocks)) == [
+        ("1.2.3.4", "Five", "Land"), ("2001:db8::1", None, "Land"), ("8.8.8.8", UNKNOWN, UNKNOWN),
+        ("9.9.9.9", None, None),
+    ]

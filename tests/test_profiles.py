@@ -141,6 +141,13 @@ def test_long_lists_split_into_parts_and_stay_whole(spark, monkeypatch):
     assert sorted(listed) == sorted(values)
 
 
+def test_profile_size_in_place_of_its_values(spark):
+    seen = spark.createDataFrame([("p", P.DEVIATION, 0, "a"), ("p", P.DEVIATION, 1, "b")], SEEN)
+    sections = alerts.sections_of(profiles.judged(seen).filter("batch_id = 1"))
+    body = alerts.deviation_messages(profiles.deviations(seen), sections, ["p"]).first().body
+    assert "Current profile (which was not matched): 1 values\r\n" in body
+
+
 def test_running_totals_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(profiles, "BLOCK", 3)
     frame = spark.createDataFrame([(k, b, b % 4) for k in "xy" for b in range(0, 40, 2)], "k string, b long, n long")

@@ -55,18 +55,24 @@ def deviation_subject(profiler: Column) -> Column:
     return F.concat(F.lit(DEVIATION_SUBJECT), profiler)
 
 
-def deviation_messages(alerts: DataFrame, sections: DataFrame) -> DataFrame:
+def deviation_messages(
+    alerts: DataFrame, sections: DataFrame, unlisted: list[str] | None = None
+) -> DataFrame:
     """Subject and body of each alert.
 
     ``alerts`` has a row with the counts of :func:`profiles.deviations` per
     alert, ``sections(profiler, batch_id, section, value)`` what it lists. The
     lists are sorted. An alert too long for one message goes out in ``parts``
-    messages of the same form, each listing its share of every set.
+    messages of the same form, each listing its share of every set. Profilers in
+    ``unlisted`` show the size of the profile in place of its values.
     """
+    by_size = F.col("profiler").isin(unlisted or [])
+    listed_profile = F.when(by_size, 0).otherwise(F.col("n_profile"))
     split = alerts.select(
         "profiler",
         "batch_id",
-        parts_for(F.greatest("n_current", "n_profile")).alias("parts"),
+        "n_profile",
+        parts_for(F.greatest("n_current", listed_profile)).alias("parts"),
     )
 
     def share(section: str) -> Column:
@@ -76,13 +82,22 @@ def deviation_messages(alerts: DataFrame, sections: DataFrame) -> DataFrame:
     lists = (
         sections.withColumn("text", printed(F.col("value")))
         .join(split, ["profiler", "batch_id"])
-        .groupBy("profiler", "batch_id", "parts", part_of(F.col("text"), F.col("parts")).alias("part"))
+        .groupBy(
+            "profiler",
+            "batch_id",
+            "n_profile",
+            "parts",
+            part_of(F.col("text"), F.col("parts")).alias("part"),
+        )
         .agg(*[share(s) for s in (NEW, CURRENT, PROFILE, INTERSECTION)])
     )
+    held = F.when(by_size, F.concat("n_profile", F.lit(" values"))).otherwise(
+        joined(F.col(PROFILE))
+    )
     body = F.concat(
         F.lit(NEW_LABEL), joined(F.col(NEW)), F.lit(EOL),
         F.lit(EOL + CURRENT_LABEL), joined(F.col(CURRENT)), F.lit(EOL),
-        F.lit(PROFILE_LABEL), joined(F.col(PROFILE)), F.lit(EOL),
+        F.lit(PROFILE_LABEL), held, F.lit(EOL),
         F.lit(INTERSECTION_LABEL), joined(F.col(INTERSECTION)), F.lit(EOL),
         F.lit(EOL + CLOSING),
     )

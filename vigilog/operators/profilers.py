@@ -36,6 +36,8 @@ class Profiler:
     may add further columns, say by a join; it must keep one row per observation.
     A ``deviation`` profiler alerts when a batch shows values its profile lacks;
     a ``tor`` profiler keeps no profile and reports every value, every batch.
+    Alert texts of the stream list the whole profile; ``lists_profile=False`` gives
+    its size instead, for profiles too large to read and print at every alert.
     """
 
     name: str
@@ -44,6 +46,7 @@ class Profiler:
     keep: str = "true"
     kind: str = DEVIATION
     enrich: Callable[[DataFrame], DataFrame] | None = None
+    lists_profile: bool = True
 
     @property
     def keeps_value(self) -> bool:

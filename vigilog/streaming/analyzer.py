@@ -181,10 +181,12 @@ class Analyzer:
         here = F.lit(n).cast("bigint").alias("batch_id")
         headers = alert_rows.filter(F.col("kind") == DEVIATION).select("*", here)
         shown = judged.filter(F.col("profiler").isin(names)).select("*", here)
-        held = self.store.profile(n, base, names)
-        deviating = deviation_messages(
-            headers, sections_of(shown).unionByName(profile_lists(held, headers))
-        ).select(
+        unlisted = [p.name for p in self.profilers if not p.lists_profile]
+        sections = sections_of(shown)
+        if wanted := [name for name in names if name not in unlisted]:
+            held = self.store.profile(n, base, wanted)
+            sections = sections.unionByName(profile_lists(held, headers))
+        deviating = deviation_messages(headers, sections, unlisted).select(
             "profiler", F.lit(DEVIATION).alias("kind"), F.lit(None).cast("string").alias("address"),
             "part", "parts", "subject", "body",
         )
