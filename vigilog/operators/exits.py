@@ -27,8 +27,11 @@ def from_exit_nodes(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame
 
 def with_exit_flag(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
     """Adds ``is_exit``, false for bad addresses and for an empty list."""
-    return (
-        with_address(rows, column)
-        .join(_keyed(nodes).withColumn("_exit", F.lit(True)), _same(), "left")
-        .select(*rows.columns, F.coalesce("_exit", F.lit(False)).alias("is_exit"))
+    return with_flags(with_address(rows, column), nodes).drop("_hi", "_lo")
+
+
+def with_flags(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for rows that have their address parsed, as ``_hi`` and ``_lo``."""
+    return rows.join(_keyed(nodes).withColumn("_exit", F.lit(True)), _same(), "left").select(
+        *rows.columns, F.coalesce("_exit", F.lit(False)).alias("is_exit")
     )

@@ -14,7 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.functions.addresses import address_sql, is_v4, network_sql, parse_address
+from vigilog.functions.addresses import (
+    address_sql,
+    is_v4,
+    network_sql,
+    parse_address,
+    with_address,
+)
 
 # Fixed value: the answer for a bad address or one outside every block.
 UNKNOWN = "Unknown"
@@ -127,34 +133,33 @@ def geo_lookup(
     """Adds ``city`` and ``country`` of the address in ``column``.
 
     ``rows`` must be distinct. A bad or uncovered address gives ``Unknown``; a
-    block without a name gives null. One pass: candidates are expanded, joined,
-    and folded back on the columns of the rows, whose partitioning still holds
-    when the blocks were broadcast.
+    block without a name gives null.
+    """
+    return with_places(with_address(rows, column), blocks, lengths).drop("_hi", "_lo")
+
+
+def with_places(
+    rows: DataFrame, blocks: DataFrame, lengths: dict[str, list[int]] | None = None
+) -> DataFrame:
+    """The same for rows that have their address parsed, as ``_hi`` and ``_lo``.
+
+    One pass: candidates are expanded, joined, and folded back on the columns of
+    the rows, whose partitioning still holds when the blocks were broadcast.
     """
     lengths = lengths or prefix_lengths(blocks)
     keys = rows.columns
-    expanded = (
-        rows.select(*keys, parse_address(column).alias("_a"))
-        .select(
-            *keys,
-            F.explode_outer(
-                F.expr(
-                    f"CASE WHEN _a IS NOT NULL THEN "
-                    f"{_candidates_sql('_a.hi', '_a.lo', lengths)} END"
-                )
-            ).alias("_c"),
-        )
-    )
+    candidates = f"CASE WHEN _hi IS NOT NULL THEN {_candidates_sql('_hi', '_lo', lengths)} END"
+    expanded = rows.select(*keys, F.explode_outer(F.expr(candidates)).alias("_c"))
     found = expanded.join(
         blocks.select(
-            F.col("plen").alias("_plen"),
-            F.col("hi").alias("_hi"),
-            F.col("lo").alias("_lo"),
+            F.col("plen").alias("_bplen"),
+            F.col("hi").alias("_bhi"),
+            F.col("lo").alias("_blo"),
             F.struct("city", "country").alias("_place"),
         ),
-        (F.col("_c.plen") == F.col("_plen"))
-        & (F.col("_c.hi") == F.col("_hi"))
-        & (F.col("_c.lo") == F.col("_lo")),
+        (F.col("_c.plen") == F.col("_bplen"))
+        & (F.col("_c.hi") == F.col("_bhi"))
+        & (F.col("_c.lo") == F.col("_blo")),
         "left",
     )
     place = found.groupBy(*keys).agg(F.max("_place").alias("_place"))

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.functions.addresses import with_address
 from vigilog.functions.deep_json import with_deep_values
-from vigilog.operators.exits import with_exit_flag
-from vigilog.operators.geo import geo_lookup
+from vigilog.operators.exits import with_flags
+from vigilog.operators.geo import with_places
 
 DEVIATION = "deviation"
 SIGHTING = "tor"
@@ -106,19 +107,23 @@ def enriched(
 ) -> DataFrame:
     """Adds the columns the profilers ask for. ``observed`` must be distinct.
 
-    Both lookups run in the same pass over the observations, whatever the
-    number of profilers that need them.
+    Addresses are parsed once, and both lookups run in the same pass over the
+    observations, whatever the number of profilers that need them.
     """
-    address = F.when(F.col("field") == SOURCE_IP_ADDRESS, F.col("value"))
-    if any(p.uses("city", "country") for p in profilers):
-        if blocks is None:
-            raise ValueError("a profiler needs city or country, but no blocks were given")
-        addressed = observed.withColumn("_ip", address)
-        observed = geo_lookup(addressed, "_ip", blocks, lengths).drop("_ip")
-    if any(p.uses("is_exit") for p in profilers):
-        if nodes is None:
-            raise ValueError("a profiler needs is_exit, but no exit nodes were given")
-        observed = with_exit_flag(observed.withColumn("_ip", address), "_ip", nodes).drop("_ip")
+    places = any(p.uses("city", "country") for p in profilers)
+    exits = any(p.uses("is_exit") for p in profilers)
+    if places and blocks is None:
+        raise ValueError("a profiler needs city or country, but no blocks were given")
+    if exits and nodes is None:
+        raise ValueError("a profiler needs is_exit, but no exit nodes were given")
+    if places or exits:
+        address = F.when(F.col("field") == SOURCE_IP_ADDRESS, F.col("value"))
+        observed = with_address(observed.withColumn("_ip", address), "_ip").drop("_ip")
+        if places:
+            observed = with_places(observed, blocks, lengths)
+        if exits:
+            observed = with_flags(observed, nodes)
+        observed = observed.drop("_hi", "_lo")
     for step in dict.fromkeys(p.enrich for p in profilers if p.enrich):
         observed = step(observed)
     return observed
