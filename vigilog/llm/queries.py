@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import chat, decontaminate, exact_dedup, packing, quality, simhash, warc
+from vigilog.llm import chat, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, warc
 from vigilog.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
         op2_decontaminate,
         op3_exact_dedup,
         op4_simhash,
+        op5_suffix_dedup,
         op6_quality,
         op7_packing,
         op8_chat,
