@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import chat, decontaminate, exact_dedup, packing, quality, simhash, suffix_dedup, warc
+from vigilog.llm import (
+    chaining,
+    chat,
+    decontaminate,
+    exact_dedup,
+    packing,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    warc,
+)
 from vigilog.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -53,9 +68,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passage_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_decontaminate,
         op3_exact_dedup,
         op4_simhash,
@@ -64,5 +84,6 @@ QUERIES = {
         op7_packing,
         op8_chat,
         op9_warc,
+        op10_chaining,
     )
 }
