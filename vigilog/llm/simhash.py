@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = heads.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = staged(grouped.select("fp", "head", F.coalesce("component", "fp").alias("part")), "groups")
     least = grouped.groupBy("part").agg(F.min("head").alias("component_id"))
-    of_fp = grouped.join(least, "part").select("fp", "component_id")
+    # A table, so that the join below is one of two shuffles and a hot fingerprint can be split.
+    of_fp = staged(grouped.join(least, "part").select("fp", "component_id"), "answers")
     return rows.join(of_fp, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
