@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
 
 from vigilog.session import run_folder
 
@@ -191,17 +191,19 @@ def parse(stream: io.BufferedIOBase, wanted, with_payload: bool) -> Iterator[tup
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, with_payload: bool):
         self.path, self.with_payload = path, with_payload
-        self.conditions: list[tuple[str, frozenset]] = []
+        #: Header and the values it may have; None: it must be there.
+        self.conditions: list[tuple[str, frozenset | None]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            name = _FIELDS.get(f.attribute[0]) if isinstance(f, EqualTo | In) else None
+            name = _FIELDS.get(f.attribute[0]) if isinstance(f, EqualTo | In | IsNotNull) else None
             if name is None:
                 yield f
-            elif isinstance(f, EqualTo):
-                self.conditions.append((name, frozenset([f.value])))
+            elif isinstance(f, IsNotNull):
+                self.conditions.append((name, None))
             else:
-                self.conditions.append((name, frozenset(f.value)))
+                values = [f.value] if isinstance(f, EqualTo) else f.value
+                self.conditions.append((name, frozenset(values)))
 
     def partitions(self):
         from pyarrow import fs
@@ -222,7 +224,7 @@ class WarcReader(DataSourceReader):
         conditions = self.conditions
 
         def wanted(fields: dict[str, str]) -> bool:
-            return all(fields.get(name) in values for name, values in conditions)
+            return all(n in fields if v is None else fields.get(n) in v for n, v in conditions)
 
         with files.open_input_stream(partition.value, compression=None) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
