@@ -150,9 +150,9 @@ def test_lookup_shuffles_when_blocks_are_not_small(spark, blocks):
 
 
 LIST = [
-    "ExitNode 0011BD2485AD45D984EC4159C88FC066E5E3300E",
-    "ExitAddress 162.247.72.201 2015-09-27 23:17:58",
-    "ExitAddress 162.247.72.201 2015-09-28 00:00:00",
+    "ExitNode AB12CD34AB12CD34AB12CD34AB12CD34AB12CD34",
+    "ExitAddress 198.51.100.7 2020-01-02 03:04:05",
+    "ExitAddress 198.51.100.7 2020-01-03 00:00:00",
     "x ExitAddress 1.2.3.4",
     "ExitAddress",
     "ExitAddress not.an.address 2015",
@@ -163,7 +163,7 @@ LIST = [
 
 def test_exit_list(spark, tmp_path):
     lines = spark.createDataFrame([(line,) for line in LIST], "value string")
-    assert rows(exit_nodes(lines).select("ip")) == [("162.247.72.201",), ("9.9.9.9",), ("::ffff:5.6.7.8",)]
+    assert rows(exit_nodes(lines).select("ip")) == [("198.51.100.7",), ("9.9.9.9",), ("::ffff:5.6.7.8",)]
     assert rows(exit_node_rejects(lines).select("line", "reason")) == [
         ("ExitAddress", "no address"),
         ("ExitAddress not.an.address 2015", "not an address"),

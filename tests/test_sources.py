@@ -144,10 +144,9 @@ def test_access_lines(spark, tmp_path):
 
 
 BODY = """{
-  "Type" : "Notification", "MessageId" : "id",
-  "TopicArn" : "arn:aws:sns:us-west-2::cloudTrailLogArrivals",
-  "Message" : "{\\"s3Bucket\\":\\"cloudtrail17\\",\\"s3ObjectKey\\":[\\"objectPath\\"]}",
-  "Timestamp" : "2015-10-03T01:36:22.964Z", "SignatureVersion" : "1"
+  "Type" : "Notification", "MessageId" : "m-1",
+  "Message" : "{\\"s3Bucket\\":\\"log-store\\",\\"s3ObjectKey\\":[\\"year/day/one\\"]}",
+  "Timestamp" : "2020-01-02T03:04:05Z"
 }"""
 
 
@@ -176,7 +175,7 @@ def test_notifications(spark):
     )
     unwrapped = unwrap_notifications(bodies)
     assert rows(announced_objects(unwrapped)) == [
-        ("b", "k1"), ("b", "k2"), ("b", "mixed"), ("cloudtrail17", "objectPath"), ("d", "k")
+        ("b", "k1"), ("b", "k2"), ("b", "mixed"), ("d", "k"), ("log-store", "year/day/one")
     ]
     assert sorted(r.reason for r in notification_rejects(unwrapped).collect()) == [
         "Message is not JSON", "empty bucket", "empty key", "empty s3ObjectKey",

@@ -162,7 +162,9 @@ def with_places(
         & (F.col("_c.lo") == F.col("_blo")),
         "left",
     )
-    place = found.groupBy(*keys).agg(F.max("_place").alias("_place"))
+    # Of overlapping networks the longest prefix names the place.
+    longest = F.max(F.when(F.col("_bplen").isNotNull(), F.struct("_bplen", "_place")))
+    place = found.groupBy(*keys).agg(longest["_place"].alias("_place"))
     return place.select(*keys, _named("city"), _named("country"))
 
 
@@ -187,7 +189,8 @@ def register_geo_functions(
         spark.sql(
             f"""
             CREATE OR REPLACE TEMPORARY FUNCTION {name}(ip STRING) RETURNS STRING RETURN (
-              SELECT CASE WHEN count(g.plen) = 0 THEN '{UNKNOWN}' ELSE max(g.{name}) END
+              SELECT CASE WHEN count(g.plen) = 0 THEN '{UNKNOWN}' 
+                     ELSE max(named_struct('p', g.plen, 'city', g.city, 'country', g.country)).{name} END
               FROM (
                 SELECT explode({candidates}) AS c
                 FROM (SELECT {address_sql('ip')} AS a) s

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,7 +56,9 @@ class Profiler:
         return self.value == "value"
 
     def uses(self, *columns: str) -> bool:
-        return any(c in self.value or c in self.keep for c in columns)
+        """Whether the expressions name any of the columns; words in text literals do not count."""
+        code = re.sub(r"'(?:[^'\\]|\\.|'')*'", "", f"{self.value} {self.keep}")
+        return any(re.search(rf"\b{c}\b", code) for c in columns)
 
 
 ACCESS_KEY_PROFILER = Profiler(

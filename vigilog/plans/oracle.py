@@ -311,8 +311,8 @@ ORACLE: dict[str, str] = {
     "audit_object_listing": """
         SELECT DISTINCT event_type AS bucket, 'p' || (event_id % 7) || '/o' || event_id || '.json.gz' AS key
         FROM events e WHERE event_id % 3 = 0 AND EXISTS (
-          SELECT 1 FROM events s WHERE s.event_type = e.event_type AND s.user_id % 5 IN (1, 2)
-            AND s.user_id % 5 = e.event_id % 7)""",
+          SELECT 1 FROM events s WHERE s.event_type = e.event_type
+            AND (s.user_id % 5 = 0 OR s.user_id % 5 = e.event_id % 7))""",
     "audit_unnest_records": _with(EVENT, EVENT_TEXT, select="SELECT event_json FROM texts"),
     "audit_unnest_all_fields": _mixed_children(),
     "audit_line_rejects": _mixed_rejects(),

@@ -78,7 +78,7 @@ def audit_source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = fixtures.log_sources(spark, sf_dir).filter("prefix in ('p1', 'p2')")
+    sources = fixtures.log_sources(spark, sf_dir)
     return audit.objects_of_sources(fixtures.object_listing(spark, sf_dir), sources)
 
 
@@ -300,15 +300,6 @@ def profile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------
 
 
-def stream_table(name: str) -> Query:
-    """One output table of the analyzer after replaying all events in arrivals."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return replay.replayed(spark, sf_dir).output(name)
-
-    return query
-
-
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed(spark, sf_dir).output("alerts").filter(
         F.col("kind") == P.DEVIATION

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,19 @@ def objects_of_sources(listing: DataFrame, sources: DataFrame) -> DataFrame:
     wanted = source_catalogue(sources).select(
         F.col("bucket").alias("_b"), F.coalesce("prefix", F.lit("")).alias("_p")
     )
+    named = listing.filter(F.col("key").endswith(OBJECT_SUFFIX)).select("bucket", "key").distinct()
+    whole = wanted.filter("_p = ''").select(F.col("_b").alias("bucket"))  # all keys of these buckets
+    found = named.join(whole, "bucket", "left_semi")
+    wanted = wanted.filter("_p <> ''")
     lengths = sorted(r.n for r in wanted.select(F.length("_p").alias("n")).distinct().collect())
-    return (
-        listing.filter(F.col("key").endswith(OBJECT_SUFFIX))
-        .select(
-            "bucket", "key", F.explode(F.array(*[F.left("key", F.lit(n)) for n in lengths])).alias("s")
-        )
-        .join(wanted, (F.col("bucket") == F.col("_b")) & (F.col("s") == F.col("_p")), "left_semi")
-        .select("bucket", "key")
-        .distinct()
+    if not lengths:
+        return found
+    tried = named.join(whole, "bucket", "left_anti").select(
+        "bucket", "key", F.explode(F.array(*[F.left("key", F.lit(n)) for n in lengths])).alias("s")
+    )
+    under = (F.col("bucket") == F.col("_b")) & (F.col("s") == F.col("_p"))
+    return found.unionByName(
+        tried.join(wanted, under, "left_semi").select("bucket", "key").distinct()
     )
 
 
@@ -128,15 +134,25 @@ def typed_events(events: DataFrame, *carry: str) -> DataFrame:
     return events.select(*carry, "event_json", F.inline(parsed))
 
 
+#: A quoted name, or a type of the variant notation where a type stands.
+_NOTATION = re.compile(
+    r"`(?:[^`]|``)*`|(?:^|(?<=: )|(?<=<))(OBJECT(?=<)|VARIANT(?=[,>]|$)|VOID(?=[,>]|$))"
+)
+_TYPES = {"OBJECT": "STRUCT", "VARIANT": "STRING", "VOID": "STRING"}
+
+
+def _parsed_type(notation: str) -> str:
+    """The variant notation of a type as the type parser reads it; names stay as they are."""
+    return _NOTATION.sub(lambda m: _TYPES.get(m.group(1), m.group(0)), notation)
+
+
 def inferred_events(events: DataFrame) -> DataFrame:
     """Columns by inference, for callers who ask for it: one more pass over the text."""
     spark = events.sparkSession
     found = events.select(
         F.schema_of_variant_agg(F.try_parse_json("event_json")).alias("s")
     ).first()
-    # The variant notation writes OBJECT<...> where the type parser wants STRUCT.
-    ddl = (found.s if found and found.s else "OBJECT<>").replace("OBJECT<", "STRUCT<")
+    ddl = _parsed_type(found.s if found and found.s else "OBJECT<>")
     if not ddl.startswith("STRUCT<") or ddl == "STRUCT<>":
         return spark.createDataFrame([], "event_json string")
-    ddl = ddl.replace("VARIANT", "STRING").replace("VOID", "STRING")
     return events.select(F.from_json("event_json", ddl).alias("e")).select("e.*")
