@@ -90,9 +90,7 @@ def test_closed_form_agrees_with_the_state_machine(spark, seed):
     found = profiles.deviations(seen)
     bodies = alerts.deviation_messages(
         found,
-        alerts.sections_of(
-            profiles.judged(seen).join(found.select("profiler", "batch_id"), ["profiler", "batch_id"], "left_semi")
-        ).unionByName(profiles.profile_lists(profiles.first_seen(seen), found)),
+        profiles.alert_values(seen, found).unionByName(profiles.profile_lists(profiles.first_seen(seen), found)),
     )
     texts = {(r.profiler, r.batch_id): r for r in bodies.collect()}
     expected, final = [], []
@@ -121,17 +119,17 @@ def test_closed_form_agrees_with_the_state_machine(spark, seed):
     )
 
 
-def test_long_lists_split_into_parts_and_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(alerts, "LIST_SIZE", 10)
+def test_long_lists_split_into_parts_and_stay_whole(spark):
     values = [f"v{i}" for i in range(100)]
     seen = spark.createDataFrame(
         [("p", P.DEVIATION, 0, "base")] + [("p", P.DEVIATION, 1, v) for v in values], SEEN
     )
-    lists = alerts.listed(profiles.new_values(seen), "profiler", "batch_id").collect()
+    lists = alerts.listed(profiles.new_values(seen), "profiler", "batch_id", per_part=10).collect()
     assert len(lists) > 1 and {r.parts for r in lists} == {10}
     assert sorted(v for r in lists for v in r["values"]) == sorted(values)
     found = profiles.deviations(seen)
-    messages = alerts.deviation_messages(found, alerts.sections_of(profiles.judged(seen).filter("batch_id = 1")))
+    messages = alerts.deviation_messages(found, profiles.alert_values(seen, found), per_part=10)
+    assert sorted((r.part, r.parts) for r in messages.collect()) == [(i, 10) for i in range(1, 11)]
     listed = [
         v
         for r in messages.collect()
@@ -141,13 +139,6 @@ def test_long_lists_split_into_parts_and_stay_whole(spark, monkeypatch):
     assert sorted(listed) == sorted(values)
 
 
-def test_profile_size_in_place_of_its_values(spark):
-    seen = spark.createDataFrame([("p", P.DEVIATION, 0, "a"), ("p", P.DEVIATION, 1, "b")], SEEN)
-    sections = alerts.sections_of(profiles.judged(seen).filter("batch_id = 1"))
-    body = alerts.deviation_messages(profiles.deviations(seen), sections, ["p"]).first().body
-    assert "Current profile (which was not matched): 1 values\r\n" in body
-
-
 def test_running_totals_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(profiles, "BLOCK", 3)
     frame = spark.createDataFrame([(k, b, b % 4) for k in "xy" for b in range(0, 40, 2)], "k string, b long, n long")
@@ -163,7 +154,9 @@ def test_status_counts_batches_without_activity(spark):
         SEEN,
     )
     status = profiles.profile_status(
-        spark.range(4).select(F.col("id").alias("batch_id")), seen, [P.ARN_PROFILER, P.TOR_PROFILER]
+        spark.range(4).select(F.col("id").alias("batch_id")),
+        profiles.increments(seen),
+        [P.ARN_PROFILER, P.TOR_PROFILER],
     )
     got = {(r.profiler, r.batch_id): (r.alert_count, r.messages, r.update_count) for r in status.collect()}
     assert got == {

@@ -95,9 +95,7 @@ def test_stream_equals_batch(spark, stream, batch):
     assert rows(streamed) == rows(found.select(columns)) and streamed.count() > 3
     bodies = alerts.deviation_messages(
         found,
-        alerts.sections_of(
-            profiles.judged(seen).join(found.select("profiler", "batch_id"), ["profiler", "batch_id"], "left_semi")
-        ).unionByName(profiles.profile_lists(profiles.first_seen(seen), found)),
+        profiles.alert_values(seen, found).unionByName(profiles.profile_lists(profiles.first_seen(seen), found)),
     )
     messages = store.output("alert_messages")
     assert rows(messages.filter("kind = 'deviation'").select("profiler", "batch_id", "subject", "body")) == rows(
@@ -109,7 +107,7 @@ def test_stream_equals_batch(spark, stream, batch):
     ]
     columns = ["batch_id", "profiler", "field", "alert_count", "messages", "update_count", "line"]
     assert rows(store.output("status").select(columns)) == rows(
-        profiles.profile_status(events.select("batch_id"), seen, PROFILERS).select(columns)
+        profiles.profile_status(events.select("batch_id"), profiles.increments(seen), PROFILERS).select(columns)
     )
     assert rows(store.profile(4)) == rows(
         profiles.first_seen(seen).select("value", "first_batch", "profiler")
@@ -195,3 +193,27 @@ def test_analyzer_counts_are_per_profiler(spark, tmp_path):
     made = Analyzer(Store(spark, str(tmp_path)), PROFILERS)
     assert len(made.counts()) == 2 * len(PROFILERS)
     assert made.derived == [P.CITY_PROFILER, P.COUNTRY_PROFILER]
+
+
+def test_a_listed_address_is_new_on_the_day_it_is_listed(spark, lookups, tmp_path):
+    """The state knows the address from the first batch; the profile does not."""
+    listed_exit = P.Profiler("Exits", P.SOURCE_IP_ADDRESS, keep="is_exit")
+    lists = iter([["10.0.0.9"], ["10.0.0.9", "10.0.0.1"], ["10.0.0.9", "10.0.0.1"]])
+
+    def nodes():
+        lines = [(f"ExitAddress {ip} x",) for ip in next(lists)]
+        return exit_nodes(spark.createDataFrame(lines, "value string"))
+
+    analyzer_store = f"{tmp_path}/store"
+    for n in range(3):
+        put(tmp_path / "in", f"o{n}", [event("10.0.0.1", "ASIA1", "a"), event("10.0.0.9", "AKIA1", "a")])
+        start_analyzer(
+            spark, replay_events(spark, f"{tmp_path}/in"), analyzer_store, f"{tmp_path}/checkpoint",
+            [listed_exit, P.ACCESS_KEY_PROFILER], nodes=nodes, trigger=NOW,
+        ).awaitTermination()
+    store = Store(spark, analyzer_store)
+    found = store.output("alerts").filter("profiler = 'Exits'").select("batch_id", "n_new", "n_profile")
+    assert rows(found) == [(1, 1, 1)]
+    state = spark.read.format("statestore").load(f"{tmp_path}/checkpoint")
+    kept = {r.value for r in state.select("key.value").collect()}
+    assert kept == {"10.0.0.1", "10.0.0.9", "AKIA1"}  # no temporary key

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from vigilog.functions.text import joined, printed
 
-#: Values one list holds on average before it is split over several rows.
-LIST_SIZE = 10_000
+#: Values one row lists on average, unless the caller says otherwise. Longer lists
+#: go on in further rows, numbered and complete.
+VALUES_PER_PART = 10_000
 
 # The wording of the alerts.
 EOL = "\r\n"
@@ -26,9 +27,9 @@ SIGHTING_BODY = ("Activity on your AWS resources has been seen from ", " which i
 NEW, CURRENT, PROFILE, INTERSECTION = "new", "current", "profile", "intersection"
 
 
-def parts_for(largest: Column) -> Column:
+def parts_for(largest: Column, per_part: int) -> Column:
     """Rows to spread lists over, given the size of the largest."""
-    return F.greatest(F.lit(1), F.ceil(largest / LIST_SIZE)).cast("bigint")
+    return F.greatest(F.lit(1), F.ceil(largest / per_part)).cast("bigint")
 
 
 def part_of(value: Column, parts: Column) -> Column:
@@ -36,13 +37,14 @@ def part_of(value: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(value), parts) + 1
 
 
-def listed(rows: DataFrame, *keys: str) -> DataFrame:
+def listed(rows: DataFrame, *keys: str, per_part: int = VALUES_PER_PART) -> DataFrame:
     """The values of each group as sorted lists, ``part`` of ``parts``.
 
     A group of any size is written in full, over as many rows as it needs, so
     no task collects an unbounded one.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("parts", parts_for(F.col("n")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("parts", parts_for(F.col("n"), per_part))
     return (
         rows.join(sizes, list(keys))
         .groupBy(*keys, "n", "parts", part_of(printed(F.col("value")), F.col("parts")).alias("part"))
@@ -56,23 +58,31 @@ def deviation_subject(profiler: Column) -> Column:
 
 
 def deviation_messages(
-    alerts: DataFrame, sections: DataFrame, unlisted: list[str] | None = None
+    alerts: DataFrame, sections: DataFrame, per_part: int = VALUES_PER_PART
 ) -> DataFrame:
     """Subject and body of each alert.
 
     ``alerts`` has a row with the counts of :func:`profiles.deviations` per
     alert, ``sections(profiler, batch_id, section, value)`` what it lists. The
-    lists are sorted. An alert too long for one message goes out in ``parts``
-    messages of the same form, each listing its share of every set. Profilers in
-    ``unlisted`` show the size of the profile in place of its values.
+    lists are sorted. An alert with more than ``per_part`` values in a list goes out
+    in ``parts`` texts of the same form, each listing its share of every set.
     """
-    by_size = F.col("profiler").isin(unlisted or [])
-    listed_profile = F.when(by_size, 0).otherwise(F.col("n_profile"))
     split = alerts.select(
         "profiler",
         "batch_id",
-        "n_profile",
-        parts_for(F.greatest("n_current", listed_profile)).alias("parts"),
+        parts_for(F.greatest("n_current", "n_profile"), per_part).alias("parts"),
+    )
+    text = printed(F.col("value"))
+    shares = sections.join(split, ["profiler", "batch_id"]).select(
+        *split.columns, part_of(text, F.col("parts")).alias("part"), "section", text.alias("text")
+    )
+    # One empty share per part, so that every announced part exists.
+    nothing = F.lit(None).cast("string")
+    every_part = split.select(
+        "*",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("parts"))).alias("part"),
+        nothing.alias("section"),
+        nothing.alias("text"),
     )
 
     def share(section: str) -> Column:
@@ -80,24 +90,14 @@ def deviation_messages(
         return F.array_sort(F.collect_list(chosen)).alias(section)
 
     lists = (
-        sections.withColumn("text", printed(F.col("value")))
-        .join(split, ["profiler", "batch_id"])
-        .groupBy(
-            "profiler",
-            "batch_id",
-            "n_profile",
-            "parts",
-            part_of(F.col("text"), F.col("parts")).alias("part"),
-        )
+        shares.unionByName(every_part)
+        .groupBy(*split.columns, "part")
         .agg(*[share(s) for s in (NEW, CURRENT, PROFILE, INTERSECTION)])
     )
-    held = F.when(by_size, F.concat("n_profile", F.lit(" values"))).otherwise(
-        joined(F.col(PROFILE))
-    )
     body = F.concat(
         F.lit(NEW_LABEL), joined(F.col(NEW)), F.lit(EOL),
         F.lit(EOL + CURRENT_LABEL), joined(F.col(CURRENT)), F.lit(EOL),
-        F.lit(PROFILE_LABEL), held, F.lit(EOL),
+        F.lit(PROFILE_LABEL), joined(F.col(PROFILE)), F.lit(EOL),
         F.lit(INTERSECTION_LABEL), joined(F.col(INTERSECTION)), F.lit(EOL),
         F.lit(EOL + CLOSING),
     )

@@ -31,7 +31,15 @@ def with_exit_flag(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
 
 
 def with_flags(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same for rows that have their address parsed, as ``_hi`` and ``_lo``."""
-    return rows.join(_keyed(nodes).withColumn("_exit", F.lit(True)), _same(), "left").select(
+    """The same for rows that have their address parsed, as ``_hi`` and ``_lo``.
+
+    Rows without an address match nothing; their key spreads them.
+    """
+    same = (
+        (F.coalesce("_hi", F.xxhash64(*rows.columns)) == F.col("_nhi"))
+        & (F.coalesce("_lo", F.lit(-1)) == F.col("_nlo"))
+        & F.col("_hi").isNotNull()
+    )
+    return rows.join(_keyed(nodes).withColumn("_exit", F.lit(True)), same, "left").select(
         *rows.columns, F.coalesce("_exit", F.lit(False)).alias("is_exit")
     )

@@ -27,6 +27,9 @@ UNKNOWN = "Unknown"
 
 V4_BITS = 96
 
+#: A prefix length that no block has.
+NO_BLOCK = -2
+
 
 def blocks_from_networks(networks: DataFrame) -> DataFrame:
     """Blocks of ``networks(network, city, country)``, e.g. ``10.0.0.0/8``."""
@@ -121,7 +124,7 @@ def _candidates_sql(hi: str, lo: str, lengths: dict[str, list[int]]) -> str:
     def some(family: str) -> str:
         listed = ", ".join(one(p) for p in lengths[family])
         return f"array({listed})" if listed else (
-            "cast(array() AS array<struct<plen: int, hi: bigint, lo: bigint>>)"
+            "cast(NULL AS array<struct<plen: int, hi: bigint, lo: bigint>>)"
         )
 
     return f"CASE WHEN {is_v4(hi, lo)} THEN {some('v4')} ELSE {some('v6')} END"
@@ -148,8 +151,18 @@ def with_places(
     """
     lengths = lengths or prefix_lengths(blocks)
     keys = rows.columns
-    candidates = f"CASE WHEN _hi IS NOT NULL THEN {_candidates_sql('_hi', '_lo', lengths)} END"
-    expanded = rows.select(*keys, F.explode_outer(F.expr(candidates)).alias("_c"))
+    candidates = F.expr(
+        f"CASE WHEN _hi IS NOT NULL THEN {_candidates_sql('_hi', '_lo', lengths)} END"
+    )
+    # Rows with nothing to look up get a key that matches no block and spreads them.
+    nothing = F.struct(
+        F.lit(NO_BLOCK).alias("plen"),
+        F.xxhash64(*keys).alias("hi"),
+        F.lit(0).cast("bigint").alias("lo"),
+    )
+    expanded = rows.select(
+        *keys, F.explode(F.coalesce(candidates, F.array(nothing))).alias("_c")
+    )
     found = expanded.join(
         blocks.select(
             F.col("plen").alias("_bplen"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from vigilog.functions.addresses import with_address
 from vigilog.functions.deep_json import with_deep_values
 from vigilog.operators.exits import with_flags
-from vigilog.operators.geo import with_places
+from vigilog.operators.geo import UNKNOWN, with_places
 
 DEVIATION = "deviation"
 SIGHTING = "tor"
 
+#: Columns that lookups add to an address.
+LOOKUPS = ("city", "country", "is_exit")
+
 # The profiled fields, the names of the profilers, and the mark
 # of a temporary access key.
 SOURCE_IP_ADDRESS = "sourceIPAddress"
@@ -38,8 +41,6 @@ class Profiler:
     may add further columns, say by a join; it must keep one row per observation.
     A ``deviation`` profiler alerts when a batch shows values its profile lacks;
     a ``tor`` profiler keeps no profile and reports every value, every batch.
-    Alert texts of the stream list the whole profile; ``lists_profile=False`` gives
-    its size instead, for profiles too large to read and print at every alert.
     """
 
     name: str
@@ -48,12 +49,19 @@ class Profiler:
     keep: str = "true"
     kind: str = DEVIATION
     enrich: Callable[[DataFrame], DataFrame] | None = None
-    lists_profile: bool = True
+
+    @property
+    def needs_lookup(self) -> bool:
+        """Whether more than the observed value decides what is kept."""
+        return self.enrich is not None or self.uses(*LOOKUPS)
 
     @property
     def keeps_value(self) -> bool:
-        """Whether a profile value is the observed value itself."""
-        return self.value == "value"
+        """Whether a profile value is the observed value itself, kept or not for good.
+
+        Where a lookup decides, a value seen before may yet be new to the profile.
+        """
+        return self.value == "value" and not self.needs_lookup
 
     def uses(self, *columns: str) -> bool:
         """Whether the expressions name any of the columns; words in text literals do not count."""
@@ -101,6 +109,12 @@ def observations(events: DataFrame, fields: list[str]) -> DataFrame:
     return field_values(events, fields, "batch_id").distinct()
 
 
+def wanted(rows: DataFrame, profilers: list[Profiler]) -> DataFrame:
+    """Without the ``(field, value)`` rows that no profiler keeps, whatever a lookup says."""
+    kept = [f"(field = '{p.field}' AND ({'true' if p.needs_lookup else p.keep}))" for p in profilers]
+    return rows.filter(" OR ".join(kept))
+
+
 def enriched(
     observed: DataFrame,
     profilers: list[Profiler],
@@ -148,13 +162,43 @@ def expanded(observed: DataFrame, profilers: list[Profiler], *carry: str) -> Dat
     ).select(*carry, "p.profiler", "p.kind", "p.value")
 
 
+def with_places_once(
+    observed: DataFrame,
+    profilers: list[Profiler],
+    blocks: DataFrame | None,
+    nodes: DataFrame | None,
+) -> DataFrame:
+    """The columns of :func:`enriched` for observations of many batches.
+
+    Each address is looked up once, in however many batches it shows, and rows
+    without an address stay out of the joins. ``observed`` is read three times.
+    """
+    bare = [replace(p, enrich=None) for p in profilers]
+    is_address = F.col("field") == SOURCE_IP_ADDRESS
+    addresses = observed.filter(is_address)
+    found = enriched(addresses.select("field", "value").distinct(), bare, blocks, nodes)
+    added = found.columns[2:]
+    found = found.select(F.col("value").alias("_v"), *added)
+    with_address_columns = addresses.join(found, F.col("value").eqNullSafe(F.col("_v"))).drop("_v")
+    none = {"city": F.lit(UNKNOWN), "country": F.lit(UNKNOWN), "is_exit": F.lit(False)}
+    others = observed.filter(~is_address).select("*", *[none[c].alias(c) for c in added])
+    rows = with_address_columns.unionByName(others)
+    for step in dict.fromkeys(p.enrich for p in profilers if p.enrich):
+        rows = step(rows)
+    return rows
+
+
 def candidates(
     observed: DataFrame,
     profilers: list[Profiler],
     blocks: DataFrame | None = None,
     nodes: DataFrame | None = None,
 ) -> DataFrame:
-    """``(profiler, kind, batch_id, value)``: what each profiler saw in each batch, once."""
-    return expanded(
-        enriched(observed, profilers, blocks, nodes), profilers, "batch_id"
-    ).distinct()
+    """``(profiler, kind, batch_id, value)``: what each profiler saw in each batch, once.
+
+    Profilers of places read ``observed`` several times, so hand it over as a table.
+    """
+    places = blocks is not None and any(p.uses("city", "country") for p in profilers)
+    look_up = with_places_once if places else enriched
+    rows = look_up(wanted(observed, profilers), profilers, blocks, nodes)
+    return expanded(rows, profilers, "batch_id").distinct()

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilog.operators.alerts import sections_of
 from vigilog.operators.profilers import DEVIATION, SIGHTING, Profiler
 
 #: Batches summed by one task in a running total.
@@ -49,7 +50,7 @@ def profile_before(profile: DataFrame, batch_id: int | Column) -> DataFrame:
 
 
 def judged(seen: DataFrame) -> DataFrame:
-    """``seen`` with ``is_new`` and ``alerting``, for the deviation profilers.
+    """``seen`` with ``is_new``, for the deviation profilers.
 
     A value may be null, hence the null-safe key.
     """
@@ -57,13 +58,11 @@ def judged(seen: DataFrame) -> DataFrame:
     return (
         seen.filter(F.col("kind") == DEVIATION)
         .join(known, (F.col("profiler") == F.col("_p")) & F.col("value").eqNullSafe(F.col("_v")))
-        .join(baselines(seen), "profiler")
         .select(
             "profiler",
             "batch_id",
             "value",
             (F.col("first_batch") == F.col("batch_id")).alias("is_new"),
-            (F.col("batch_id") > F.col("baseline")).alias("after_baseline"),
         )
     )
 
@@ -84,29 +83,44 @@ def known_values(seen: DataFrame) -> DataFrame:
 
 
 def batch_counts(seen: DataFrame) -> DataFrame:
-    """Per profiler and batch: current, new and known values; whether it alerts."""
-    return (
-        judged(seen)
+    """Per profiler and batch: current, new and known values; whether it alerts.
+
+    What a batch shows and what is first seen in it are counted apart and joined
+    as counts, so no observation meets the first batch of its value.
+    """
+    shown = (
+        seen.filter(F.col("kind") == DEVIATION)
         .groupBy("profiler", "batch_id")
-        .agg(
-            F.count("*").alias("n_current"),
-            F.count_if("is_new").alias("n_new"),
-            F.bool_and("after_baseline").alias("after_baseline"),
-        )
+        .agg(F.count("*").alias("n_current"))
+    )
+    fresh = (
+        first_seen(seen)
+        .groupBy("profiler", F.col("first_batch").alias("batch_id"))
+        .agg(F.count("*").alias("n_new"))
+    )
+    n_new = F.coalesce("n_new", F.lit(0))
+    return (
+        shown.join(fresh, ["profiler", "batch_id"], "left")
+        .join(baselines(seen), "profiler")
         .select(
             "profiler",
             "batch_id",
             "n_current",
-            "n_new",
-            (F.col("n_current") - F.col("n_new")).alias("n_intersection"),
-            (F.col("after_baseline") & (F.col("n_new") > 0)).alias("alerts"),
+            n_new.alias("n_new"),
+            (F.col("n_current") - n_new).alias("n_intersection"),
+            ((F.col("batch_id") > F.col("baseline")) & (n_new > 0)).alias("alerts"),
         )
     )
 
 
-def deviations(seen: DataFrame) -> DataFrame:
-    """One row per alert: its counts, ``n_profile`` being the profile's size before it."""
-    grown = running_totals(batch_counts(seen), "profiler", "batch_id", {"n_new": "grown"})
+def deviations(seen: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row per alert: its counts, ``n_profile`` being the profile's size before it.
+
+    ``counts`` are the :func:`batch_counts`, for a caller who has them as a table:
+    the running total reads them twice.
+    """
+    counts = batch_counts(seen) if counts is None else counts
+    grown = running_totals(counts, "profiler", "batch_id", {"n_new": "grown"})
     return grown.filter("alerts").select(
         "profiler",
         "batch_id",
@@ -117,6 +131,17 @@ def deviations(seen: DataFrame) -> DataFrame:
     )
 
 
+def alert_values(seen: DataFrame, alerts: DataFrame) -> DataFrame:
+    """``(profiler, batch_id, section, value)``: what each alert shows, in full.
+
+    ``alerts`` needs ``profiler`` and ``batch_id``. A long table, so an alert of any
+    size is whole and no task holds its list. The profile of an alert is not copied
+    into it: it is :func:`profile_before` of the first-seen table.
+    """
+    alerting = alerts.select("profiler", "batch_id")
+    return sections_of(judged(seen).join(alerting, ["profiler", "batch_id"], "left_semi"))
+
+
 def profile_lists(profile: DataFrame, alerts: DataFrame) -> DataFrame:
     """What each alert's profile held, as section rows.
 
@@ -138,7 +163,8 @@ def sightings(seen: DataFrame) -> DataFrame:
 def increments(seen: DataFrame) -> DataFrame:
     """``(profiler, batch_id, alerts, messages)`` of the batches that sent any.
 
-    A batch counts as one alert, though sightings send a message per value.
+    A batch counts as one alert, though sightings send a message per value. A
+    message that goes out in several parts counts once.
     """
     sent = (
         new_values(seen)
@@ -194,12 +220,14 @@ def status_line(profiler: Column, field: Column, count: Column) -> Column:
 
 
 def profile_status(
-    batches: DataFrame, seen: DataFrame, profilers: list[Profiler]
+    batches: DataFrame, sent: DataFrame, profilers: list[Profiler]
 ) -> DataFrame:
     """State of every profiler after every batch in ``batches(batch_id)``.
 
-    ``alert_count`` counts batches that alerted, ``messages`` what was sent,
-    ``update_count`` the batches so far, with or without activity.
+    ``sent`` are the :func:`increments`; it and ``batches`` are read twice, so hand
+    over tables where they are costly. ``alert_count`` counts batches that alerted,
+    ``messages`` what was sent, ``update_count`` the batches so far, with or without
+    activity.
     """
     named = [
         F.struct(F.lit(p.name).alias("profiler"), F.lit(p.field).alias("field")) for p in profilers
@@ -210,7 +238,7 @@ def profile_status(
         .select("batch_id", F.explode(F.array(*named)).alias("p"), F.lit(1).alias("one"))
         .select("batch_id", "p.profiler", "p.field", "one")
     )
-    filled = grid.join(increments(seen), ["profiler", "batch_id"], "left").fillna(
+    filled = grid.join(sent, ["profiler", "batch_id"], "left").fillna(
         0, ["alerts", "messages"]
     ).withColumnRenamed("messages", "sent")
     totals = running_totals(

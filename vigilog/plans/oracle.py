@@ -394,6 +394,11 @@ ORACLE: dict[str, str] = {
         f"SELECT profiler, batch_id, value AS address, {_TOR_TEXT} FROM seen",
         ["SourceIP-TorExitNode"],
     ),
+    "alert_values": profiled(
+        """SELECT j.profiler, j.batch_id, unnest(['current',
+          CASE WHEN is_new THEN 'new' ELSE 'intersection' END]) AS section, j.value
+        FROM judged j JOIN dev ON dev.profiler = j.profiler AND dev.batch_id = j.batch_id"""
+    ),
     "alert_bodies": profiled(
         f", {BODY.strip()} SELECT * FROM bodies", ["SourceIP-City", "SourceIP-Country"]
     ),

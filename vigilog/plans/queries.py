@@ -15,7 +15,6 @@ from vigilog.operators.alerts import (
     deviation_messages,
     deviation_subject,
     listed,
-    sections_of,
     sighting_messages,
 )
 from vigilog.operators.exits import from_exit_nodes, with_exit_flag
@@ -195,8 +194,9 @@ def seen_once(spark: SparkSession, sf_dir: str, chosen: list[P.Profiler]) -> Dat
     """What the chosen profilers saw, with only the lookups they need."""
     geo = any(p.uses("city", "country") for p in chosen)
     tor = any(p.uses("is_exit") for p in chosen)
+    rows = P.wanted(observed(spark, sf_dir, chosen), chosen)
     return P.candidates(
-        observed(spark, sf_dir, chosen),
+        staged(rows, "observed") if geo else rows,
         chosen,
         fixtures.geo_blocks(spark, sf_dir) if geo else None,
         fixtures.exit_list(spark, sf_dir) if tor else None,
@@ -249,8 +249,9 @@ def alerts_of(profiler: P.Profiler) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = seen(spark, sf_dir, [profiler])
         lists = listed(profiles.new_values(found), "profiler", "batch_id").drop("n")
+        counts = staged(profiles.batch_counts(found), "counts")
         return (
-            profiles.deviations(found)
+            profiles.deviations(found, counts)
             .join(lists, ["profiler", "batch_id"])
             .select(
                 "batch_id",
@@ -273,28 +274,35 @@ def alerts_tor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sighting_messages(profiles.sightings(seen_once(spark, sf_dir, [P.TOR_PROFILER])))
 
 
+def alert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every alert of every profiler shows, new and known."""
+    found = seen(spark, sf_dir, ALL_PROFILERS)
+    return profiles.alert_values(found, profiles.batch_counts(found).filter("alerts"))
+
+
 def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole alert texts of the place profilers, whose profiles the number of
     named places bounds. Other profilers get theirs batch by batch, in the stream."""
     found = seen(spark, sf_dir, [P.GEO_CITY_PROFILER, P.GEO_COUNTRY_PROFILER])
-    alerts = profiles.deviations(found)
-    shown = sections_of(profiles.judged(found).join(
-        alerts.select("profiler", "batch_id"), ["profiler", "batch_id"], "left_semi"
-    ))
+    alerts = staged(profiles.deviations(found), "alerts")
     held = profiles.profile_lists(profiles.first_seen(found), alerts)
-    return deviation_messages(alerts, shown.unionByName(held))
+    return deviation_messages(alerts, profiles.alert_values(found, alerts).unionByName(held))
+
+
+def sent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts and messages per profiler and batch, as a table: running totals read it twice."""
+    return staged(profiles.increments(seen(spark, sf_dir, ALL_PROFILERS)), "sent")
 
 
 def alert_counts_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = profiles.increments(seen(spark, sf_dir, ALL_PROFILERS))
     return profiles.running_totals(
-        sent, "profiler", "batch_id", {"alerts": "alert_count"}
+        sent_alerts(spark, sf_dir), "profiler", "batch_id", {"alerts": "alert_count"}
     ).select("profiler", "batch_id", "alert_count")
 
 
 def profile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = fixtures.audit_event_texts(spark, sf_dir).select("batch_id")
-    return profiles.profile_status(batches, seen(spark, sf_dir, ALL_PROFILERS), ALL_PROFILERS)
+    return profiles.profile_status(batches, sent_alerts(spark, sf_dir), ALL_PROFILERS)
 
 
 # --- streams -----------------------------------------------------------------
@@ -363,6 +371,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         alerts_tor,
+        alert_values,
         alert_bodies,
         alert_counts_running,
         profile_status,

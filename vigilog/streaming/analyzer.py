@@ -5,9 +5,10 @@ Every batch it emits the values the batch touched; a value is new when both
 times are the batch's own. So a batch costs what it touches, however large the
 profiles have grown, and a hot value is folded before the shuffle.
 
-Values that pass through unchanged take their newness from that state. Those
-that a lookup maps to something coarser, such as a city, are compared with the
-stored profile of that one profiler, which the number of places bounds.
+Values that pass through unchanged take their newness from that state. Where a
+lookup decides what a profile value is or whether it is kept, values are compared
+with the stored profile of that one profiler: an address seen long ago is new to a
+profile on the day that a list first names it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigilog import schemas
-from vigilog.operators.alerts import deviation_messages, sections_of, sighting_messages
+from vigilog.operators.alerts import (
+    VALUES_PER_PART,
+    deviation_messages,
+    sections_of,
+    sighting_messages,
+)
 from vigilog.operators.geo import prefix_lengths
 from vigilog.operators.profilers import (
     DEFAULT_PROFILERS,
@@ -30,6 +36,7 @@ from vigilog.operators.profilers import (
     expanded,
     field_values,
     profiled_fields,
+    wanted,
 )
 from vigilog.operators.profiles import profile_lists, status_line
 from vigilog.session import ROCKSDB_PROVIDER
@@ -46,12 +53,14 @@ Table = DataFrame | Callable[[], DataFrame] | None
 def touched_values(events: DataFrame, profilers: list[Profiler]) -> DataFrame:
     """Streaming ``(field, value, first_seen, last_seen)`` of the values in a batch.
 
-    The time is the batch's, and a repeated batch keeps its time.
+    The time is the batch's, and a repeated batch keeps its time. What no profiler
+    can keep, such as temporary keys, does not enter the state.
     """
+    values = field_values(
+        events.observe("ingested", F.count("*").alias("events")), profiled_fields(profilers)
+    )
     return (
-        field_values(
-            events.observe("ingested", F.count("*").alias("events")), profiled_fields(profilers)
-        )
+        wanted(values, profilers)
         .withColumn("at", F.current_timestamp())
         .groupBy("field", "value")
         .agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
@@ -66,12 +75,18 @@ class Analyzer:
     """What happens to each batch. See :func:`start_analyzer`."""
 
     def __init__(
-        self, store: Store, profilers: list[Profiler], blocks: Table = None, nodes: Table = None
+        self,
+        store: Store,
+        profilers: list[Profiler],
+        blocks: Table = None,
+        nodes: Table = None,
+        per_part: int = VALUES_PER_PART,
     ) -> None:
         self.store = store
         self.profilers = profilers
         self.blocks = blocks
         self.nodes = nodes
+        self.per_part = per_part
         # Known ahead for blocks that stay the same; otherwise found per batch.
         self.lengths = prefix_lengths(blocks) if isinstance(blocks, DataFrame) else None
         self.plain = [p.name for p in profilers if p.keeps_value]
@@ -181,12 +196,11 @@ class Analyzer:
         here = F.lit(n).cast("bigint").alias("batch_id")
         headers = alert_rows.filter(F.col("kind") == DEVIATION).select("*", here)
         shown = judged.filter(F.col("profiler").isin(names)).select("*", here)
-        unlisted = [p.name for p in self.profilers if not p.lists_profile]
         sections = sections_of(shown)
-        if wanted := [name for name in names if name not in unlisted]:
-            held = self.store.profile(n, base, wanted)
+        if names:
+            held = self.store.profile(n, base, names)
             sections = sections.unionByName(profile_lists(held, headers))
-        deviating = deviation_messages(headers, sections, unlisted).select(
+        deviating = deviation_messages(headers, sections, self.per_part).select(
             "profiler", F.lit(DEVIATION).alias("kind"), F.lit(None).cast("string").alias("address"),
             "part", "parts", "subject", "body",
         )
@@ -209,18 +223,22 @@ def start_analyzer(
     blocks: Table = None,
     nodes: Table = None,
     trigger: dict | None = None,
+    values_per_part: int = VALUES_PER_PART,
 ) -> StreamingQuery:
     """Profiles a stream of ``event_json`` and writes profiles, alerts and status.
 
     ``blocks`` and ``nodes`` are the geo blocks and exit nodes, or functions that
     load them, called for every batch. ``store`` and ``checkpoint`` belong
-    together: keep both to resume, change both to start afresh. The number of
+    together: keep both to resume, change both to start afresh. An alert text with
+    more than ``values_per_part`` values in a list goes on in further parts. The number of
     ingested events is in the progress of the query, metric ``ingested``.
     """
     if spark.conf.get(STATE_PROVIDER, "").endswith("HDFSBackedStateStoreProvider"):
         # State on disk: profiles outgrow memory.
         spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
-    analyzer = Analyzer(Store(spark, store), profilers or DEFAULT_PROFILERS, blocks, nodes)
+    analyzer = Analyzer(
+        Store(spark, store), profilers or DEFAULT_PROFILERS, blocks, nodes, values_per_part
+    )
     return (
         touched_values(events, analyzer.profilers)
         .writeStream.outputMode("update")
