@@ -5,8 +5,12 @@ import os
 import time
 
 from conftest import rows
+from vigilog.operators import profiles
+from vigilog.operators import profilers as P
+from vigilog.operators.exits import with_flags
 from vigilog.operators.geo import blocks_from_networks, geo_lookup, register_geo_functions
 from vigilog.operators.profilers import Profiler
+from vigilog.plans import tables
 from vigilog.sources import audit
 from vigilog.streaming.inputs import replay_events, start_notification_ingest
 
@@ -85,3 +89,51 @@ def test_whole_buckets_and_prefixes(spark):
         ("a", "x1.json.gz"), ("a", "y1.json.gz"), ("b", "x1.json.gz")
     ]
     assert audit.objects_of_sources(listing, sources.filter("bucket = 'a' and prefix is null")).count() == 2
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_do_not_join_on_values(spark):
+    seen = spark.createDataFrame([("p", P.DEVIATION, 0, "a")], "profiler string, kind string, batch_id long, value string")
+    joins = [line for line in plan_of(profiles.batch_counts(seen)).split("\n") if " Join " in line]
+    assert len(joins) == 2 and not any("value#" in line for line in joins)
+
+
+def test_addresses_are_looked_up_once_and_alone(spark):
+    """Rows without an address stay out of every join."""
+    observed = spark.createDataFrame(
+        [(b, "sourceIPAddress", "10.1.2.3") for b in range(9)] + [(1, "sourceIPAddress", None), (1, "arn", "r")],
+        "batch_id long, field string, value string",
+    )
+    blocks = blocks_from_networks(
+        spark.createDataFrame([("10.0.0.0/8", "c", "L")], "network string, city string, country string")
+    )
+    chosen = [P.GEO_CITY_PROFILER, P.GEO_COUNTRY_PROFILER, P.ARN_PROFILER]
+    found = P.candidates(observed, chosen, blocks)
+    assert sorted((r.profiler, r.batch_id, r.value) for r in found.collect()) == sorted(
+        [("SourceIP-City", b, "c") for b in range(9)] + [("SourceIP-Country", b, "L") for b in range(9)]
+        + [("SourceIP-City", 1, "Unknown"), ("SourceIP-Country", 1, "Unknown"), ("arn", 1, "r")]
+    )
+    others = [line for line in plan_of(P.with_places_once(observed, chosen, blocks, None)).split("\n") if "Filter" in line]
+    assert any("NOT (field#" in line for line in others) and any("(field#" in line and "NOT" not in line for line in others)
+
+
+def test_rows_without_an_address_match_no_node(spark):
+    rows_in = spark.createDataFrame([("x", None, None), ("y", 0, 7)], "value string, _hi long, _lo long")
+    nodes = spark.createDataFrame([(0, 7), (0, -1)], "hi long, lo long")
+    assert rows(with_flags(rows_in, nodes).select("value", "is_exit")) == [("x", False), ("y", True)]
+
+
+def test_rejects_are_written_where_named(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", {"requestID": "r1", "userIdentity": {"sessionContext": {"attributes": {"mfaAuthenticated": "true"}}}})
+    (tmp_path / "access1").write_text("too few words\n")
+    spark.createDataFrame([("{broken",)], "value string").write.option("compression", "gzip").text(f"{tmp_path}/bad")
+    for name in os.listdir(tmp_path / "bad"):
+        if name.endswith(".txt.gz"):
+            os.rename(f"{tmp_path}/bad/{name}", f"{tmp_path}/in/{name[:-7]}.json.gz")
+    found = tables.create_audit_table(spark, f"{tmp_path}/in", cache=False, rejects=f"{tmp_path}/rejects")
+    assert found.select("requestID", "userIdentity.sessionContext.attributes.mfaAuthenticated").collect() == [("r1", "true")]
+    tables.create_access_table(spark, f"{tmp_path}/access", cache=False, rejects=f"{tmp_path}/rejects")
+    assert sorted(r.source for r in spark.read.parquet(f"{tmp_path}/rejects").collect()) == ["access", "audit"]

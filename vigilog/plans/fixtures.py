@@ -163,6 +163,40 @@ def geo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks_from_ranges(geo_ranges(spark, sf_dir))
 
 
+def network_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(network, geoname_id)``: IPv4 networks of ten lengths, a /8 over many of them, and IPv6."""
+    customers = table(spark, sf_dir, "customer")
+    small = customers.selectExpr(
+        "concat(c_custkey % 256, '.', c_custkey * 7 % 256, '.', c_custkey % 4 * 64, '.0/', 15 + c_custkey % 10)"
+        " AS network",
+        "c_custkey AS geoname_id",
+    )
+    nations = table(spark, sf_dir, "nation")
+    wide = nations.selectExpr("concat(n_nationkey * 9, '.0.0.0/8') AS network", "-1 - n_nationkey AS geoname_id")
+    six = nations.selectExpr(
+        "concat('fd00::', lower(hex(n_nationkey * 2048)), '/', 112 + n_nationkey % 6) AS network",
+        "-1 - n_nationkey AS geoname_id",
+    )
+    return small.unionByName(wide).unionByName(six)
+
+
+def network_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(geoname_id, city_name, country_name)``; some cities have no name."""
+    nations = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer").join(
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    of_customers = customers.selectExpr(
+        "c_custkey AS geoname_id",
+        "CASE WHEN c_custkey % 9 > 0 THEN concat('city ', c_custkey) END AS city_name",
+        "n_name AS country_name",
+    )
+    of_nations = nations.selectExpr(
+        "-1 - n_nationkey AS geoname_id", "concat('all ', n_name) AS city_name", "n_name AS country_name"
+    )
+    return of_customers.unionByName(of_nations)
+
+
 def exit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.expr(

@@ -288,6 +288,27 @@ FROM (
 """
 
 
+NETWORKS = """
+four AS (
+  SELECT ((c_custkey % 256) * 16777216 + (c_custkey * 7 % 256) * 65536 + (c_custkey % 4) * 64 * 256)
+      >> (17 - c_custkey % 10) AS bits, 15 + c_custkey % 10 AS plen,
+    CASE WHEN c_custkey % 9 > 0 THEN 'city ' || c_custkey END AS city, n_name AS country
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_nationkey * 9, 8, 'all ' || n_name, n_name FROM nation),
+six AS (
+  SELECT (n_nationkey * 2048) >> (16 - n_nationkey % 6) AS bits, 112 + n_nationkey % 6 AS plen,
+    'all ' || n_name AS city, n_name AS country FROM nation),
+under AS (
+  SELECT ip, plen, city, country FROM longs
+    JOIN four ON ip_long >> (32 - plen) = bits AND ip_long IS NOT NULL
+  UNION ALL SELECT ip, plen, city, country FROM longs
+    JOIN six ON (event_id % 65536) >> (128 - plen) = bits AND form = 2),
+best AS (
+  SELECT DISTINCT ON (ip) ip, city, country FROM under
+  ORDER BY ip, plen DESC, city DESC NULLS LAST, country DESC NULLS LAST)
+"""
+
+
 ORACLE: dict[str, str] = {
     "audit_distinct_principals": _with(
         EVENT,
@@ -331,6 +352,13 @@ ORACLE: dict[str, str] = {
     "access_distinct_ip": _with(
         ACCESS, select="SELECT DISTINCT ip FROM acc WHERE o_orderkey % 11 <> 0"
     ),
+    "net_geo_networks": _with(
+        ADDRESSES,
+        NETWORKS,
+        select="""SELECT DISTINCT l.ip, CASE WHEN b.ip IS NULL THEN 'Unknown' ELSE b.city END AS city,
+        CASE WHEN b.ip IS NULL THEN 'Unknown' ELSE b.country END AS country
+        FROM longs l LEFT JOIN best b ON b.ip = l.ip""",
+    ),
     "net_ip_to_long": _with(ADDRESSES, select="SELECT DISTINCT ip, ip_long FROM longs"),
     "net_parse_address": _with(
         ADDRESSES,
@@ -428,3 +456,6 @@ ORACLE: dict[str, str] = {
     "stream_notified_events": "SELECT 'e' || event_id AS event_id FROM events",
 }
 ORACLE["audit_saved_table"] = ORACLE["audit_root_usage"]
+ORACLE["access_saved_table"] = ORACLE["access_distinct_ip"]
+ORACLE["stream_both_inputs"] = ORACLE["stream_notified_events"]
+ORACLE["stream_rejects"] = ORACLE["audit_line_rejects"]

@@ -18,9 +18,15 @@ from vigilog.operators.alerts import (
     sighting_messages,
 )
 from vigilog.operators.exits import from_exit_nodes, with_exit_flag
-from vigilog.operators.geo import geo_lookup, register_geo_functions
+from vigilog.operators.geo import geo_lookup, read_blocks, register_geo_functions
 from vigilog.plans import fixtures
-from vigilog.plans.tables import ACCESS_TABLE, AUDIT_TABLE, register, save_table
+from vigilog.plans.tables import (
+    ACCESS_TABLE,
+    AUDIT_TABLE,
+    create_access_saved_table,
+    register,
+    save_table,
+)
 from vigilog.session import run_folder, staged
 from vigilog.sources import access, audit, notifications
 from vigilog.sources.exit_nodes import exit_node_rejects
@@ -72,6 +78,15 @@ def audit_geo_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(GEO_SQL)
 
 
+def net_geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by an address database in its CSV form: many lengths, overlaps, IPv6."""
+    folder = run_folder(spark, "networks")
+    fixtures.network_rows(spark, sf_dir).write.option("header", "true").csv(f"{folder}/networks")
+    fixtures.network_names(spark, sf_dir).write.option("header", "true").csv(f"{folder}/names")
+    blocks = staged(read_blocks(spark, f"{folder}/networks", f"{folder}/names"), "blocks")
+    return geo_lookup(fixtures.address_texts(spark, sf_dir).distinct(), "ip", blocks)
+
+
 def audit_source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_catalogue(fixtures.log_sources(spark, sf_dir))
 
@@ -120,6 +135,15 @@ def access_distinct_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ACCESS_IP_SQL)
 
 
+def access_saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of log files and the saved table."""
+    folder = run_folder(spark, "access")
+    fixtures.access_lines(spark, sf_dir).write.text(f"{folder}/logs")
+    name = "s3logshive_" + folder.rsplit("-", 1)[-1]
+    create_access_saved_table(spark, f"{folder}/logs/part-", f"{folder}/table", name=name)
+    return spark.sql(ACCESS_IP_SQL.replace("s3logs", name))
+
+
 # --- addresses ---------------------------------------------------------------
 
 
@@ -326,6 +350,14 @@ def stream_notified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.notified_events(spark, sf_dir)
 
 
+def stream_both_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.both_events(spark, sf_dir)
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.rejected_lines(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -342,6 +374,8 @@ QUERIES: dict[str, Query] = {
         access_parse,
         access_rejects,
         access_distinct_ip,
+        access_saved_table,
+        net_geo_networks,
         net_ip_to_long,
         net_parse_address,
         net_tor_nodes,
@@ -379,5 +413,7 @@ QUERIES: dict[str, Query] = {
         stream_alert_messages,
         stream_status,
         stream_notified_events,
+        stream_both_inputs,
+        stream_rejects,
     )
 }

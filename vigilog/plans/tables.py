@@ -6,9 +6,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.sources.access import parse_access_lines, read_access_lines
+from vigilog.sources.access import access_rejects, parse_access_lines, read_access_lines
 from vigilog.sources.audit import (
     inferred_events,
+    line_rejects,
     read_lines,
     typed_events,
     typed_records,
@@ -64,9 +65,20 @@ def save_table(
     return table.sparkSession.table(name)
 
 
+def write_rejects(rejects: DataFrame, path: str | None) -> None:
+    """Adds the rejected lines to a table, where the caller names one: a pass of its own."""
+    if path:
+        rejects.write.mode("append").parquet(path)
+
+
 def create_audit_table(
-    spark: SparkSession, paths: str | list[str], infer: bool = False, cache: bool = True
+    spark: SparkSession,
+    paths: str | list[str],
+    infer: bool = False,
+    cache: bool = True,
+    rejects: str | None = None,
 ) -> DataFrame:
+    write_rejects(line_rejects(read_lines(spark, paths)), rejects)
     return register(audit_events(spark, paths, infer=infer), AUDIT_TABLE, cache)
 
 
@@ -76,8 +88,13 @@ def with_event_date(events: DataFrame) -> DataFrame:
 
 
 def create_audit_saved_table(
-    spark: SparkSession, paths: str | list[str], path: str | None = None, by_date: bool = False
+    spark: SparkSession,
+    paths: str | list[str],
+    path: str | None = None,
+    by_date: bool = False,
+    rejects: str | None = None,
 ) -> DataFrame:
+    write_rejects(line_rejects(read_lines(spark, paths)), rejects)
     events = audit_events(spark, paths)
     if by_date:
         return save_table(
@@ -86,12 +103,21 @@ def create_audit_saved_table(
     return save_table(events, AUDIT_TABLE + SAVED_SUFFIX, path)
 
 
-def create_access_table(spark: SparkSession, path: str, cache: bool = True) -> DataFrame:
-    return register(parse_access_lines(read_access_lines(spark, path)), ACCESS_TABLE, cache)
+def create_access_table(
+    spark: SparkSession, path: str, cache: bool = True, rejects: str | None = None
+) -> DataFrame:
+    lines = read_access_lines(spark, path)
+    write_rejects(access_rejects(lines), rejects)
+    return register(parse_access_lines(lines), ACCESS_TABLE, cache)
 
 
 def create_access_saved_table(
-    spark: SparkSession, path: str, table_path: str | None = None
+    spark: SparkSession,
+    path: str,
+    table_path: str | None = None,
+    rejects: str | None = None,
+    name: str = ACCESS_TABLE + SAVED_SUFFIX,
 ) -> DataFrame:
-    table = parse_access_lines(read_access_lines(spark, path))
-    return save_table(table, ACCESS_TABLE + SAVED_SUFFIX, table_path)
+    lines = read_access_lines(spark, path)
+    write_rejects(access_rejects(lines), rejects)
+    return save_table(parse_access_lines(lines), name, table_path)

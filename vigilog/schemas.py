@@ -5,7 +5,14 @@ from __future__ import annotations
 _ISSUER = (
     "type string, principalId string, arn string, accountId string, userName string"
 )
+_SESSION = (
+    f"sessionIssuer struct<{_ISSUER}>, webIdFederationData string, "
+    "attributes struct<creationDate string, mfaAuthenticated string>, "
+    "sourceIdentity string, ec2RoleDelivery string, assumedRoot string"
+)
 
+# The public record of an audit event. Members that differ from service
+# to service are kept as their JSON text.
 _EVENT = f"""
     eventVersion string, eventID string, eventType string, eventTime string,
     eventSource string, eventName string, awsRegion string,
@@ -13,10 +20,16 @@ _EVENT = f"""
     errorCode string, errorMessage string,
     userIdentity struct<
         type string, principalId string, arn string, accountId string,
-        accessKeyId string, userName string,
-        sessionContext struct<sessionIssuer struct<{_ISSUER}>>>,
+        accessKeyId string, userName string, invokedBy string,
+        identityProvider string, credentialId string, inScopeOf string, onBehalfOf string,
+        sessionContext struct<{_SESSION}>>,
     requestParameters string, responseElements string,
-    resources array<struct<arn string, accountId string, type string>>
+    resources array<struct<arn string, accountId string, type string>>,
+    requestID string, sharedEventID string, apiVersion string, additionalEventData string,
+    readOnly string, managementEvent string, eventCategory string, serviceEventDetails string,
+    vpcEndpointId string, vpcEndpointAccountId string, insightDetails string, addendum string,
+    sessionCredentialFromConsole string, eventContext string, edgeDeviceDetails string,
+    tlsDetails struct<tlsVersion string, cipherSuite string, clientProvidedHostHeader string>
 """
 AUDIT_EVENT = " ".join(_EVENT.split())
 
