@@ -227,7 +227,8 @@ def pack(
     )
     inside = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("inside", F.row_number().over(inside) - 1)
-    ranked = ranked.join(shifts, ["length", "group"]).select(
+    # The shifts grow with the data, so they are merged, never broadcast; the pieces lie in order already.
+    ranked = ranked.join(shifts.hint("merge"), ["length", "group"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("inside") + F.col("shift")).alias("rank")
     )
     return ranked.mapInArrow(
