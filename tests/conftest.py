@@ -20,7 +20,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
-
-
-def rows(frame):
-    return sorted((tuple(r) for r in frame.collect()), key=lambda r: [(v is None, str(v)) for v in r])

@@ -2,7 +2,7 @@ import ipaddress
 import random
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from vigilog.functions.addresses import V4_BASE, ip_to_long, parse_address

@@ -5,7 +5,7 @@ import __spark_entry__ as entry_module
 from vigilog.plans.queries import QUERIES
 import check
 
-FAST = [n for n in entry_module.queries() if not n.startswith("stream_")]
+FAST = [n for n in entry_module.oracle_sql() if not n.startswith("stream_")]
 
 
 @pytest.fixture(scope="module")

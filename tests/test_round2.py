@@ -4,7 +4,7 @@ import json
 import os
 import time
 
-from conftest import rows
+from frames import rows
 from vigilog.operators import profiles
 from vigilog.operators import profilers as P
 from vigilog.operators.exits import with_flags

@@ -2,7 +2,7 @@ import gzip
 import json
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

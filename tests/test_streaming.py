@@ -4,7 +4,7 @@ import os
 import shutil
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from vigilog.operators import alerts, profiles
