@@ -350,6 +350,19 @@ def test_passages_with_edits_are_found(make):
             assert not found and got[i]["partner_id"] is None
 
 
+def test_passages_of_everyday_phrases_are_found(make):
+    """Every short phrase of the passage stands in many other texts, which would be its hubs."""
+    passage = [f"word{k}" for k in range(60)]
+    rows = [(0, " ".join(["left", *passage])), (1, " ".join([*passage, "right"]))]
+    for copy in range(40):
+        for k in range(0, 60, 10):
+            part = passage[k : k + 20]
+            rows.append((len(rows), " ".join([f"a{copy}x{k}", *part, f"b{copy}x{k}"])))
+    found = {r["doc_id"]: r["spans"] for r in chaining.passage_report(make(rows, SCHEMA)).collect()}
+    assert (found[0], found[1]) == ("1:61", "0:60")
+    assert not any(found[k] for k in range(2, len(rows)))
+
+
 def test_exact_repeats_are_covered(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.select("doc_id", "text").collect()}
