@@ -363,6 +363,23 @@ def test_passages_of_everyday_phrases_are_found(make):
     assert not any(found[k] for k in range(2, len(rows)))
 
 
+@pytest.mark.parametrize("every", [7, 8])
+def test_passages_with_close_edits_are_found(make, every):
+    """Pairs of texts that share 60 words with one word in ``every`` replaced."""
+    rng = random.Random(every)
+    rows = []
+    for i in range(0, 40, 2):
+        passage = [f"p{i}x{k}" for k in range(60)]
+        edited = [f"edit{i}x{k}" if k % every == every - 1 else w for k, w in enumerate(passage)]
+        for doc, words in ((i, passage), (i + 1, edited)):
+            own = [f"own{doc}x{rng.random()}".replace(".", "") for _ in range(40)]
+            rows.append((doc, " ".join([*own, *words, *own[::-1]])))
+    got = by_id(chaining.passage_report(make(rows, SCHEMA)))
+    for doc in range(40):
+        assert len(_covered(got[doc]["spans"]) & set(range(40, 100))) >= 55, doc
+        assert got[doc]["partner_id"] == doc ^ 1
+
+
 def test_exact_repeats_are_covered(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.select("doc_id", "text").collect()}
