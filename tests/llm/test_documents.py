@@ -380,6 +380,29 @@ def test_passages_with_close_edits_are_found(make, every):
         assert got[doc]["partner_id"] == doc ^ 1
 
 
+def test_all_texts_of_a_group_are_linked(make):
+    passage = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(7)]
+    got = by_id(chaining.passage_report(make(rows, SCHEMA)))
+    assert [got[i]["n_links"] for i in range(7)] == [6] * 7
+    assert [got[i]["partner_id"] for i in range(7)] == [1, 0, 0, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("copies", [6, 40])
+def test_edited_passages_of_everyday_phrases_are_found(make, copies):
+    """Twelve words of the passage at a time stand in many other texts; every twentieth is replaced."""
+    passage = [f"word{k}" for k in range(80)]
+    edited = [f"edit{k}" if k % 20 == 19 else w for k, w in enumerate(passage)]
+    rows = [(0, " ".join(["left", *passage])), (1, " ".join([*edited, "right"]))]
+    for copy in range(copies):
+        for k in range(0, 80, 8):
+            own = [f"own{copy}x{k}x{i}" for i in range(60)]
+            rows.append((len(rows), " ".join([*own, *passage[k : k + 12], *own[::-1]])))
+    got = by_id(chaining.passage_report(make(rows, SCHEMA)))
+    assert len(_covered(got[0]["spans"])) >= 79 and len(_covered(got[1]["spans"])) >= 79
+    assert not any(got[k]["spans"] for k in range(2, len(rows)))
+
+
 def test_exact_repeats_are_covered(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.select("doc_id", "text").collect()}
