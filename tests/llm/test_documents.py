@@ -69,6 +69,17 @@ def test_a_confident_pattern_finds_what_the_rules_miss(make):
     assert got[21]["spans"] == "" and got[22]["spans"] == ""
 
 
+def test_discovered_instances_induce_patterns(make):
+    """No base seed stands beside 'Mobil:', only numbers that were found beside 'Phone:'."""
+    rows = [(i, f"lamp{i} Phone: +1 555 010 {1000 + i} here{i}") for i in range(20)]
+    rows += [(100 + i, f"say{i} Phone: 555-0199-7{i} day{i}") for i in range(4)]
+    rows += [(200 + i, f"ring{i} Mobil: 555-0199-7{i % 4} now{i}") for i in range(40)]
+    rows += [(300, "also Mobil: 555-0777-99 soon"), (301, "the 555-0777-98 soon")]
+    got = by_id(pii.find_personal_data(make(rows, SCHEMA)))
+    assert got[100]["spans"] and got[200]["spans"]
+    assert got[300]["spans"] == "phone:12:23" and got[301]["spans"] == ""
+
+
 def test_personal_data_of_nothing(empty):
     assert pii.find_personal_data(empty).count() == 0
 

@@ -5,7 +5,9 @@ before and right after a seed are its lexical patterns. A second, loose rule fin
 like an identifier of a kind (a number without its prefix, an address without a top domain). Patterns and
 instances form a graph that is scored in rounds: a pattern is as good as the share of its word's
 occurrences in the whole corpus that stand beside trusted instances, an instance as good as its best
-pattern. Tokens beside patterns of high confidence and wide enough support are added as spans.
+pattern. A pattern counts once enough different trusted instances stand beside it: seeds, or tokens that
+confident patterns discovered, so these bring in patterns of their own, round after round until no more come.
+Tokens beside patterns of high confidence and wide enough support are added as spans.
 
 How it scales: texts are scanned, never shuffled; what leaves the scan are the matches with the word on
 either side. Corpus word counts are combined on the map side. Patterns that could not reach the threshold
@@ -47,7 +49,7 @@ LOOKS = {
     "card": r"^[0-9][0-9.\-/]{10,22}[0-9]$",
     "phone": r"^\(?[0-9][0-9().\-/]{5,20}[0-9]$",
 }
-#: A pattern's least confidence, its least number of different seeds, and the rounds of scoring.
+#: A pattern's least confidence, its least number of different trusted instances, and the least rounds of scoring.
 CONFIDENT, SUPPORT, ROUNDS = 0.8, 3, 3
 #: Characters on either side of a match that are searched for the neighbouring word.
 CONTEXT = 80
@@ -185,26 +187,38 @@ def score_patterns(
     edges = _edges(seeds, True).unionByName(_edges(unseen, False))
     keys = ["kind", "side", "word"]
     reach = edges.groupBy(*keys).agg(
-        F.sum("times").alias("all_times"), F.count(F.when(F.col("trusted"), 1)).alias("seeds")
+        F.sum("times").alias("all_times"), F.count_distinct("value").alias("instances")
     )
-    # Even with every instance trusted, the rest of the patterns would stay below the threshold.
-    able = reach.filter(F.col("seeds") >= support).join(words, "word")
+    # Even with every instance trusted, the rest of the patterns would stay below the thresholds.
+    able = reach.filter(F.col("instances") >= support).join(words, "word")
     able = able.filter(F.col("all_times") / (F.col("n") + 1) >= confident).select(*keys, "n")
     graph = staged(edges.join(able, keys), "graph")
     trust = graph.select("kind", "value", F.col("trusted").cast("double").alias("score"))
     trust = trust.groupBy("kind", "value").agg(F.max("score").alias("score"))
-    for _ in range(rounds):
-        scored = graph.join(trust, ["kind", "value"]).groupBy(*keys).agg(
-            (F.sum(F.col("times") * F.col("score")) / (F.max("n") + 1)).alias("confidence")
+
+    def scored(trust: DataFrame) -> DataFrame:
+        """The patterns beside enough trusted instances, with their confidence."""
+        sure = F.when(F.col("score") >= confident, F.col("value"))
+        rows = graph.join(trust, ["kind", "value"]).groupBy(*keys).agg(
+            (F.sum(F.col("times") * F.col("score")) / (F.max("n") + 1)).alias("confidence"),
+            F.count_distinct(sure).alias("support"),
         )
-        best = graph.join(scored, keys).groupBy("kind", "value").agg(
-            F.greatest(F.max(F.col("trusted").cast("double")), F.max("confidence")).alias("score")
+        return rows.filter(F.col("support") >= support).drop("support")
+
+    done, before = 0, None
+    while True:
+        best = graph.join(scored(trust), keys, "left").groupBy("kind", "value").agg(
+            F.greatest(F.max(F.col("trusted").cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score")
         )
         trust = staged(best, "trust")
-    final = graph.join(trust, ["kind", "value"]).groupBy(*keys).agg(
-        (F.sum(F.col("times") * F.col("score")) / (F.max("n") + 1)).alias("confidence")
-    )
-    return final.filter(F.col("confidence") >= confident).select(*keys)
+        now = tuple(trust.agg(
+            F.count(F.when(F.col("score") >= confident, 1)), F.count(F.when(F.col("score") > 0, 1))
+        ).first())
+        done += 1
+        if now == before and done >= rounds:
+            break
+        before = now
+    return scored(trust).filter(F.col("confidence") >= confident).select(*keys)
 
 
 def discovered_spans(seeds: DataFrame, loose: DataFrame, words: DataFrame, **options) -> DataFrame:
