@@ -6,9 +6,11 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilog.session import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,3 +86,40 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+# --- groups of any size --------------------------------------------------------------------
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``at``, the place from 0 of each row in its group, for groups of any size.
+
+    Rows are sorted by range, so that a large group lies in several partitions, and numbered within each of
+    them. Only the first group of a partition can go on from the one before, so the offsets are fewer than the
+    partitions, which bounds their broadcast.
+    """
+    tie = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tie.repartitionByRange(*group, *order, "_tie").drop("_tie")
+    dealt = staged(dealt.withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.sum("_n").over(before)).filter("_before is not null")
+    within = Window.partitionBy("_part", *group).orderBy(*order)
+    counted = dealt.withColumn("_at", F.row_number().over(within))
+    return counted.join(F.broadcast(offsets.drop("_n")), ["_part", *group], "left").select(
+        *rows.columns, (F.col("_at") - 1 + F.coalesce("_before", F.lit(0))).cast("long").alias("at")
+    )
+
+
+#: Parts that a hot key is dealt to.
+SALTS = 256
+
+
+def spread_join(rows: DataFrame, key: str, values: DataFrame, by: str) -> DataFrame:
+    """Joins ``values``, unique by ``key``, to rows of which very many may have the same key.
+
+    The key meets its value once per part; the rows, dealt to parts by the column ``by``, meet their part.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = dealt.select(key, "_salt").distinct().join(values, key)
+    return dealt.join(parts, [key, "_salt"]).drop("_salt")

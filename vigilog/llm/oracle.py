@@ -66,4 +66,42 @@ ORACLE = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op11_prefix_trie": """
+        WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS i
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (SELECT c, list_transform(range(0, 8 * length(c::varchar)),
+                                          lambda j: (ord(substr(c::varchar, (j // 8 + 1)::int, 1)) >> (j % 8)::int) & 1) AS b FROM (SELECT DISTINCT c FROM o)),
+        h AS (SELECT c, c - c % 100 AS base, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], b::bigint[]),
+                lambda s, x: xor(s >> 1, CASE WHEN xor(s, x) & 1 = 1 THEN 3988292384::bigint ELSE 0::bigint END))) % 6 AS h FROM bits),
+        r AS (SELECT h.c, 0 AS part, o.i, o.r, o.t FROM h JOIN o ON o.c = h.base AND o.i < h.h
+              UNION ALL SELECT o.c, 1, o.i, o.r, o.t FROM h JOIN o ON o.c = h.c AND o.i >= h.h),
+        q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, length(r) || ':' || r || sha256(t) AS k, length(t) AS n FROM r),
+        p AS (SELECT c, d, n, sha256(string_agg(k, '|') OVER (PARTITION BY c ORDER BY d)) AS x FROM q
+              UNION ALL SELECT c, 0, 0, 'root' FROM h),
+        len AS (SELECT c, max(d) AS l FROM p GROUP BY c),
+        up AS (SELECT DISTINCT a.x, a.d, b.x AS above FROM p a LEFT JOIN p b ON b.c = a.c AND b.d = a.d - 1),
+        node AS (SELECT x, d, min(c) AS low, count(*) AS m, any_value(n) AS n FROM p GROUP BY x, d),
+        kids AS (SELECT above AS x, count(*) AS k FROM up GROUP BY above),
+        val AS (SELECT node.x, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, (m - 1) * n AS saved FROM node LEFT JOIN kids USING (x)),
+        below AS (SELECT DISTINCT a.x, b.x AS y FROM p a JOIN p b ON b.c = a.c AND b.d >= a.d),
+        total AS (SELECT below.x, sum(leaf) AS leaves, sum(saved) AS saved FROM below JOIN val ON val.x = y GROUP BY below.x),
+        ends AS (SELECT x, string_agg(c::varchar, ',' ORDER BY c) AS ids FROM p JOIN len USING (c) WHERE d = l GROUP BY x)
+        SELECT node.low AS conv_id, node.d::bigint AS depth, a.low AS parent_conv_id, node.m AS n_convs, coalesce(k, 0)::bigint AS n_children,
+               leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM node JOIN up USING (x) LEFT JOIN node a ON a.x = up.above LEFT JOIN kids ON kids.x = node.x
+        JOIN total ON total.x = node.x LEFT JOIN ends ON ends.x = node.x""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::double)) AS q
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::bigint AS score
+              FROM v a, v b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+        p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (SELECT p.a, p.b AS pos, p.score AS ps, s.b AS neg, s.score AS ns,
+                     row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+              FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT a AS anchor_id, pos AS positive_id, r::int AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score
+        FROM n WHERE r <= 3""",
 }

@@ -10,8 +10,10 @@ from vigilog.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     packing,
     pii,
+    prefix_trie,
     quality,
     simhash,
     suffix_dedup,
@@ -72,6 +74,14 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passage_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +95,7 @@ QUERIES = {
         op8_chat,
         op9_warc,
         op10_chaining,
+        op11_prefix_trie,
+        op13_hard_negatives,
     )
 }
