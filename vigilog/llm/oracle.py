@@ -104,4 +104,16 @@ ORACLE = {
               FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
         SELECT a AS anchor_id, pos AS positive_id, r::int AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score
         FROM n WHERE r <= 3""",
+    "op12_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS t
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, edge.b FROM reach JOIN edge ON edge.a = reach.y),
+        comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }

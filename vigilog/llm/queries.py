@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilog.llm import (
     chaining,
     chat,
+    chosen_path,
     decontaminate,
     exact_dedup,
     hard_negatives,
@@ -78,6 +79,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -96,6 +101,7 @@ QUERIES = {
         op9_warc,
         op10_chaining,
         op11_prefix_trie,
+        op12_minhash,
         op13_hard_negatives,
     )
 }
