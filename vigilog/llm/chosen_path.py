@@ -4,13 +4,13 @@ Each set of word shingles has 128 minwise tokens, one per hash function. In each
 document starts at the root and, at each node, goes on to every child whose token it holds and whose hash
 under that node is low: 1 / 0.8 children on average, chosen by the tokens and the path alone. So two documents that
 share the share s of their tokens go on together to s / 0.8 children, which dies out below the threshold and does
-not at or above it. Nodes of few documents are compared exhaustively by sketch (a byte of each token); larger ones
+not at or above it. Small nodes are compared exhaustively by sketch (a byte of each token); larger ones
 branch again, and what is still large at the last level is compared exhaustively in blocks. Every pair that passes
 the sketch is confirmed on the whole sets of shingles, as texts.
 
-Before it branches, a node's documents are compared with one of them, and confirmed links are contracted to
-components. A pair of one component is not looked at again and a node of one component is done, so a group of
-near copies costs what it holds, not its square.
+On each level a node's documents are first compared with one of its main component, and confirmed links are
+contracted to components. Only documents outside the main component are compared with the others, and a node of
+one component is done, so a group of near copies costs what it holds, not its square.
 
 Recall: a pair of similarity 0.8 meets in a tree's second level with probability 0.47, in its sixth with 0.27, hence
 in one of 20 trees with 0.99999 and 0.998; the sketch lets it pass with 0.9998. Components need only one of several links.
@@ -34,7 +34,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.llm.common import id_and_bytes, spread_join
@@ -48,8 +48,9 @@ TOKENS = 128
 TREES = 20
 #: Levels that every document goes down before nodes are counted, and the last level that branches.
 FIRST_LEVEL, LAST_LEVEL = 2, 10
-#: Documents of a node that are compared exhaustively.
-SMALL = 256
+#: A node is small when its documents outside the main component times all of them are at most so many pairs,
+#: and all of them so many. What is large at the last level is compared in blocks.
+PAIRS_AT_ONCE, MOST_AT_ONCE, BLOCK = 1 << 18, 1 << 14, 256
 #: Estimated similarity that a pair is confirmed from: 3.7 standard deviations below the threshold.
 PASS = 0.67
 #: Parts that the partners of one document are confirmed in.
@@ -196,17 +197,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs that may be alike and lie in different components, within each group.
 
-    Rows: path, first, second, block, key, part, sketch. A group is a node, or of a large one two of its blocks,
-    and then pairs are taken across them.
+    Rows: path, left, right, side, minor, key, part, n, sketch. A group has rows outside the node's main component
+    on its left side, and any of the node's on its right.
     """
     for group in _groups(batches, 3):
-        block, key, part = (group.column(k).to_numpy() for k in (3, 4, 5))
-        sketch = _sketches(group.column(6).combine_chunks())
-        first, second = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        left = np.nonzero(block == first)[0]
+        side, minor, key, part, n = (group.column(k).to_numpy() for k in range(3, 8))
+        sketch = _sketches(group.column(8).combine_chunks())
+        right = np.nonzero(side == 1)[0]
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in left.tolist():
-            others = np.nonzero((block == second) & (part != part[k]) & ((key > key[k]) | (first != second)))[0]
+        for k in np.nonzero(side == 0)[0].tolist():
+            sized = (100 * n[right] >= PERCENT * n[k]) & (PERCENT * n[right] <= 100 * n[k])
+            others = right[sized & (part[right] != part[k]) & ((minor[right] == 0) | (key[right] > key[k]))]
             if len(others):
                 found = key[others[_alike(sketch[others], sketch[k]) >= PASS]]
                 out.append((np.minimum(found, key[k]), np.maximum(found, key[k])))
@@ -247,9 +248,10 @@ class Join:
         made = F.col("tokens")
         # The first byte of each token of four.
         bytes_of = F.concat(*[F.substring(made, 4 * k + 1, 1) for k in range(TOKENS)])
-        self.sketches = staged(classes.select("key", bytes_of.alias("sketch")), "sketches")
+        self.sketches = staged(classes.select("key", "n", bytes_of.alias("sketch")), "sketches")
         self.classes, self.docs = classes, docs
         self.links: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
         self.parts: DataFrame | None = None
         self.texts: DataFrame | None = None
 
@@ -266,8 +268,10 @@ class Join:
         return rows.join(known, "key", "left").withColumn("part", F.coalesce("part", "key"))
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` and contracts them."""
-        pairs = staged(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "pairs")
+        """Adds the links among ``pairs``, of those not yet tried, and contracts them."""
+        pairs = reduce(lambda left, known: left.join(known, ["a", "b"], "left_anti"), self.tried, pairs.distinct())
+        pairs = staged(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "pairs")
+        self.tried.append(pairs.select("a", "b"))
         heads = pairs.select("a", "salt").distinct().join(self.texts.withColumnRenamed("key", "a"), "a")
         others = pairs.join(self.texts.withColumnRenamed("key", "b"), "b")
         rows = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(
@@ -281,60 +285,81 @@ class Join:
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches let them pass."""
-        sketch = self.sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
-        other = self.sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
-        both = spread_join(pairs.distinct(), "a", other, "b").join(sketch, "b")
+        sketch = self.sketches.select(F.col("key").alias("b"), "n", F.col("sketch").alias("sb"))
+        other = self.sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        sized = (100 * F.col("na") >= PERCENT * F.col("n")) & (PERCENT * F.col("na") <= 100 * F.col("n"))
+        both = spread_join(pairs.distinct(), "a", other, "b").join(sketch, "b").filter(sized)
         return both.select("a", "b", "sa", "sb").mapInArrow(_passing, PAIRS)
 
 
 def _with_node(rows: DataFrame, spread: bool) -> DataFrame:
-    """Adds what is known of each row's node: documents, least document, whether it is of one component."""
-    nodes = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("size"), F.min("key").alias("least"),
-        F.min("part").alias("low"), F.max("part").alias("high"),
-    ).filter("low <> high").select("path", "size", "least")
+    """(path, key, part) with their node: its size, its main component, who is outside that, a document to compare with.
+
+    Only nodes of two components or more.
+    """
+    each = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("held"), F.min("key").alias("least"))
+    nodes = each.groupBy("path").agg(
+        F.sum("held").alias("size"), F.max(F.struct("held", "part", "least")).alias("main"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select(
+        "path", "size", F.col("main.part").alias("main"), F.col("main.least").alias("least"),
+        (F.col("size") - F.col("main.held")).alias("outside"),
+    )
     return spread_join(rows, "path", nodes, "key") if spread else rows.join(nodes, "path")
 
 
+def _is_small() -> Column:
+    return (F.col("outside") * F.col("size") <= PAIRS_AT_ONCE) & (F.col("size") <= MOST_AT_ONCE)
+
+
 def _exhaustive(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs of the nodes of ``rows`` (path, key, part, size), large nodes block against block."""
-    blocks = F.ceil(F.col("size") / SMALL)
-    mine = rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), blocks))
-    each = mine.select(
-        "path", "key", "part", "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    """Candidate pairs of the nodes of ``rows``: all outside the main component with all. Large nodes go in blocks."""
+    long = "long"
+    lefts = F.when(_is_small(), 1).otherwise(F.ceil(F.col("outside") / BLOCK)).cast(long)
+    rights = F.when(_is_small(), 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast(long)
+    mark = F.xxhash64("key", F.lit(1))
+    minor = (F.col("part") != F.col("main")).cast("int")
+    mine = rows.select("path", "key", "part", minor.alias("minor"), lefts.alias("lefts"), rights.alias("rights"))
+    zero = F.lit(0).cast(long)
+    left = mine.filter("minor = 1").select(
+        "path", F.pmod(mark, "lefts").alias("left"), F.explode(F.sequence(zero, F.col("rights") - 1)).alias("right"),
+        F.lit(0).alias("side"), "minor", "key", "part",
+    )
+    right = mine.select(
+        "path", F.explode(F.sequence(zero, F.col("lefts") - 1)).alias("left"), F.pmod(mark, "rights").alias("right"),
+        F.lit(1).alias("side"), "minor", "key", "part",
     )
-    dealt = each.join(sketches, "key").select(
-        "path", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-        "block", "key", "part", "sketch",
+    dealt = left.unionByName(right).join(sketches, "key").select(
+        "path", "left", "right", "side", "minor", "key", "part", "n", "sketch"
     )
-    dealt = dealt.repartition("path", "first", "second").sortWithinPartitions("path", "first", "second")
+    dealt = dealt.repartition("path", "left", "right").sortWithinPartitions("path", "left", "right")
     return dealt.mapInArrow(_compared, PAIRS)
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    return rows.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    """Each document outside the main component with one inside."""
+    return rows.filter("part <> main").select(F.col("least").alias("a"), F.col("key").alias("b"))
 
 
 def _joined(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that have links; None where none has."""
     join = Join(classes, docs)
-    first = staged(join.tokens.mapInArrow(_planted, "path long, key long"), "paths")
-    rows = staged(_with_node(join.with_parts(first), False).drop("part"), "level")
+    rows = staged(join.tokens.mapInArrow(_planted, "path long, key long"), "paths")
+    rows = staged(_with_node(join.with_parts(rows), False), "level")
     join.hold_texts(rows.select("key").distinct())
     join.confirm(join.alike(_pivots(rows)))
     level = FIRST_LEVEL
     while True:
         rows = staged(_with_node(join.with_parts(rows.select("path", "key")), True), "level")
-        large = rows.filter(F.col("size") > SMALL) if level < LAST_LEVEL else rows.limit(0)
-        small = rows.filter(F.col("size") <= SMALL) if level < LAST_LEVEL else rows
-        pairs = _exhaustive(small, join.sketches)
+        at_once = _is_small() if level < LAST_LEVEL else F.lit(True)
+        pairs = _exhaustive(rows.filter(at_once), join.sketches)
+        large = rows.filter(~at_once)
         go_on = not large.isEmpty()
         if go_on:
             # A document has few paths: their number does not grow with the table.
             lists = large.groupBy("key").agg(F.collect_list("path").alias("paths"))
             down = join.tokens.join(lists, "key").select("key", "tokens", "paths")
             below = staged(down.mapInArrow(_branched, "path long, key long"), "paths")
-            rows = staged(_with_node(join.with_parts(below), True).drop("part"), "level")
+            rows = staged(_with_node(join.with_parts(below), True), "level")
             pairs = pairs.unionByName(join.alike(_pivots(rows)))
             level += 1
         join.confirm(pairs)
@@ -349,8 +374,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = staged(read.mapInArrow(_described, sets), "described")
     full = described.filter("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "mark"))
-    heads = full.groupBy("digest").agg(first.alias("h"), F.any_value("tokens").alias("tokens"))
-    heads = heads.select("digest", F.col("h.doc_id").alias("head"), F.col("h.mark").alias("mark"), "tokens")
+    heads = full.groupBy("digest").agg(first.alias("h"), F.any_value("tokens").alias("tokens"), F.max("n").alias("n"))
+    heads = heads.select("digest", F.col("h.doc_id").alias("head"), F.col("h.mark").alias("mark"), "tokens", "n")
     # Written once, so that the numbers stay.
     classes = staged(heads.withColumn("key", F.monotonically_increasing_id()), "classes")
     parts = _joined(classes, read)
