@@ -4,7 +4,7 @@ Each set of word shingles has 128 minwise tokens, one per hash function. In each
 document starts at the root and, at each node, goes on to every child whose token it holds and whose hash
 under that node is low: 1 / 0.8 children on average, chosen by the tokens and the path alone. So two documents that
 share the share s of their tokens go on together to s / 0.8 children, which dies out below the threshold and does
-not at or above it. Small nodes are compared exhaustively by sketch (a byte of each token); larger ones
+not at or above it. Small nodes are compared exhaustively by sketch (the whole set if short, else a sample); larger ones
 branch again, and what is still large at the last level is compared exhaustively in blocks. Every pair that passes
 the sketch is confirmed on the whole sets of shingles, as texts.
 
@@ -13,7 +13,8 @@ contracted to components. Only documents outside the main component are compared
 one component is done, so a group of near copies costs what it holds, not its square.
 
 Recall: a pair of similarity 0.8 meets in a tree's second level with probability 0.47, in its sixth with 0.27, hence
-in one of 20 trees with 0.99999 and 0.998; the sketch lets it pass with 0.9998. Components need only one of several links.
+in one of 20 trees with 0.99999 and 0.998; the sketch lets it pass with 0.9998, and takes a pair below the threshold for a
+sure one with 0.0001 at most, which can cost links that lead to the same component. Components need one of several links.
 
 How it scales: equal sets are one row before anything else. Rows are (path, document), 31 a document, so a group that
 holds the share s of all documents holds at most s / 31 of the rows of any path; on deeper levels, where only
@@ -50,9 +51,9 @@ TREES = 20
 FIRST_LEVEL, LAST_LEVEL = 2, 10
 #: A node is small when its documents outside the main component times all of them are at most so many pairs,
 #: and all of them so many. What is large at the last level is compared in blocks.
-PAIRS_AT_ONCE, MOST_AT_ONCE, BLOCK = 1 << 18, 1 << 14, 256
-#: Estimated similarity that a pair is confirmed from: 3.7 standard deviations below the threshold.
-PASS = 0.67
+PAIRS_AT_ONCE, MOST_AT_ONCE, BLOCK = 1 << 20, 1 << 14, 1024
+#: Shingles of a sketch. Whole sets are compared below the threshold for chance hits, samples by deviations below it.
+SAMPLE, WHOLE_MARGIN, DEVIATIONS = 160, 0.03, 3.7
 #: Parts that the partners of one document are confirmed in.
 SALTS = 64
 #: Shingles hashed at a time.
@@ -80,10 +81,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """A sample of a set: the shingles whose hashes end in j zero bits, for the least j that leaves SAMPLE or fewer.
+
+    Sixteen counts, of the shingles with 0, 1, 2, ... zero bits or more that are held, then 16 bits of each, those with
+    more zero bits first. So the sample at any higher j is a prefix, and short texts are held whole.
+    """
+    low = hashes & np.uint64(0x7FFF) | np.uint64(0x8000)
+    zeros = np.round(np.log2((low & (~low + np.uint64(1))).astype(np.float64))).astype(np.int64)
+    order = np.argsort(-zeros, kind="stable")
+    counts = np.searchsorted(-zeros[order], -np.arange(16), side="right")
+    counts[counts > SAMPLE] = 0
+    held = hashes[order[: counts.max(initial=0)]] >> np.uint64(40) & np.uint64(0xFFFF)
+    return np.concatenate([counts, held]).astype("<u2").tobytes()
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size of the set, a digest of it, and its minwise tokens of 32 bits."""
+    """Size of the set, a digest of it, its minwise tokens of 32 bits, and its sketch."""
     for batch in batches:
-        sizes, digests, tokens = [], [], []
+        sizes, digests, tokens, sketches = [], [], [], []
         for text in batch.column(1):
             held = shingles(text.as_py())
             hashes = np.fromiter((xxhash.xxh64_intdigest(s) for s in held), np.uint64, len(held))
@@ -95,10 +111,11 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(held))
             digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
             tokens.append((least >> np.uint64(32)).astype("<u4").tobytes())
+            sketches.append(_sketch(hashes))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(tokens, pa.binary())],
-            names=["doc_id", "mark", "n", "digest", "tokens"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()),
+             *[pa.array(c, pa.binary()) for c in (digests, tokens, sketches)]],
+            names=["doc_id", "mark", "n", "digest", "tokens", "sketch"],
         )
 
 
@@ -153,21 +170,55 @@ def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- comparing -----------------------------------------------------------------------------
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sketches; unequal tokens share a byte once in 256."""
-    same = np.count_nonzero(a == b, axis=-1) / TOKENS
-    return (same * 256 - 1) / 255
+def _judged(both: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether samples with ``both`` of ``a`` and ``b`` shingles in common can be of linked sets, and surely are.
 
-
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
+    Whole sets are told apart but for chance hits of 16 bits, samples by 3.7 standard deviations.
+    """
+    union = np.maximum(a + b - both, 1)
+    margin = np.where(level > 0, DEVIATIONS * np.sqrt(PERCENT * (100 - PERCENT) / 1e4 / union), WHOLE_MARGIN)
+    like = both / union - PERCENT / 100
+    return like >= -margin, like >= margin
+
+
+class Samples:
+    """The sketches of some rows, for counting what one of them shares with others."""
+
+    def __init__(self, column: pa.Array):
+        rows = [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+        self.counts = np.stack([r[:16] for r in rows]).astype(np.int64)
+        # The first level that is held.
+        self.level = np.argmax(self.counts > 0, axis=1)
+        self.held = [r[16:] for r in rows]
+        self.starts = np.cumsum([0, *map(len, self.held)])
+        self.values = np.concatenate(self.held)
+        self.table = np.zeros(1 << 16, bool)
+
+    def shared(self, k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each of ``others``: shingles in common with row k, those of k, its own, and the level that was used."""
+        level = np.maximum(self.level[others], self.level[k])
+        both = np.zeros(len(others), np.int64)
+        for now in np.unique(level).tolist():
+            mine = self.held[k][: self.counts[k, now]]
+            at = np.nonzero(level == now)[0]
+            sizes = self.counts[others[at], now]
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1]) + np.repeat(self.starts[others[at]] - (ends - sizes), sizes)
+            self.table[mine] = True
+            hits = np.cumsum(self.table[self.values[places]])
+            self.table[mine] = False
+            hits = np.concatenate([[0], hits])
+            both[at] = hits[ends] - hits[ends - sizes]
+        return both, self.counts[k, level], self.counts[others, level], level
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, sketch of a, sketch of b) that may be alike."""
     for batch in batches:
         if batch.num_rows:
-            held = _alike(_sketches(batch.column(2)), _sketches(batch.column(3))) >= PASS
+            n = batch.num_rows
+            samples = Samples(pa.concat_arrays([batch.column(2), batch.column(3)]))
+            held = [bool(_judged(*samples.shared(k, np.array([n + k])))[0][0]) for k in range(n)]
             yield batch.select(["a", "b"]).filter(pa.array(held))
 
 
@@ -195,26 +246,42 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that may be alike and lie in different components, within each group.
+    """The pairs to confirm within each group: those that may be alike and lie in different components.
 
-    Rows: path, left, right, side, minor, key, part, n, sketch. A group has rows outside the node's main component
-    on its left side, and any of the node's on its right.
+    Rows: path, left, right, side, minor, key, part, n, sketch, paths. A group has rows outside the node's main
+    component on its left side, and any of the node's on its right. Sure pairs join components at once, and
+    one pair is put out for each such step; of the others those that are still apart at the end. Of the nodes
+    that both documents of such a pair are in (paths), only the one of least path puts it out.
     """
     for group in _groups(batches, 3):
+        path = group.column(0)[0].as_py()
         side, minor, key, part, n = (group.column(k).to_numpy() for k in range(3, 8))
-        sketch = _sketches(group.column(8).combine_chunks())
+        samples = Samples(group.column(8))
+        root = np.unique(part, return_inverse=True)[1]
         right = np.nonzero(side == 1)[0]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, int]] = []
+        open_left, open_right = [], []
         for k in np.nonzero(side == 0)[0].tolist():
             sized = (100 * n[right] >= PERCENT * n[k]) & (PERCENT * n[right] <= 100 * n[k])
-            others = right[sized & (part[right] != part[k]) & ((minor[right] == 0) | (key[right] > key[k]))]
-            if len(others):
-                found = key[others[_alike(sketch[others], sketch[k]) >= PASS]]
-                out.append((np.minimum(found, key[k]), np.maximum(found, key[k])))
+            others = right[sized & (root[right] != root[k]) & ((minor[right] == 0) | (key[right] > key[k]))]
+            if not len(others):
+                continue
+            may, sure = _judged(*samples.shared(k, others))
+            near = others[sure]
+            met, first = np.unique(root[near], return_index=True)
+            out.extend((k, x) for x in near[first].tolist())
+            root[np.isin(root, met)] = root[k]
+            maybe = others[may & ~sure]
+            open_left.append(np.full(len(maybe), k))
+            open_right.append(maybe)
+        if open_left:
+            a, b = np.concatenate(open_left), np.concatenate(open_right)
+            apart = root[a] != root[b]
+            lists = {k: set(group.column(9)[k].as_py()) for k in np.unique([a[apart], b[apart]]).tolist()}
+            out.extend(p for p in zip(a[apart].tolist(), b[apart].tolist()) if min(lists[p[0]] & lists[p[1]]) == path)
         if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = key[np.array(out)].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +312,7 @@ class Join:
 
     def __init__(self, classes: DataFrame, docs: DataFrame):
         self.tokens = classes.select("key", "tokens")
-        made = F.col("tokens")
-        # The first byte of each token of four.
-        bytes_of = F.concat(*[F.substring(made, 4 * k + 1, 1) for k in range(TOKENS)])
-        self.sketches = staged(classes.select("key", "n", bytes_of.alias("sketch")), "sketches")
+        self.sketches = classes.select("key", "n", "sketch")
         self.classes, self.docs = classes, docs
         self.links: list[DataFrame] = []
         self.tried: list[DataFrame] = []
@@ -316,20 +380,26 @@ def _exhaustive(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     long = "long"
     lefts = F.when(_is_small(), 1).otherwise(F.ceil(F.col("outside") / BLOCK)).cast(long)
     rights = F.when(_is_small(), 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast(long)
-    mark = F.xxhash64("key", F.lit(1))
     minor = (F.col("part") != F.col("main")).cast("int")
-    mine = rows.select("path", "key", "part", minor.alias("minor"), lefts.alias("lefts"), rights.alias("rights"))
-    zero = F.lit(0).cast(long)
-    left = mine.filter("minor = 1").select(
-        "path", F.pmod(mark, "lefts").alias("left"), F.explode(F.sequence(zero, F.col("rights") - 1)).alias("right"),
-        F.lit(0).alias("side"), "minor", "key", "part",
+    entry = F.struct("path", minor.alias("minor"), lefts.alias("lefts"), rights.alias("rights"))
+    # A document has few paths: their number does not grow with the table.
+    each = rows.groupBy("key", "part").agg(F.collect_list(entry).alias("entries")).join(sketches, "key")
+    each = each.select(
+        "key", "part", "n", "sketch", F.transform("entries", lambda e: e["path"]).alias("paths"),
+        F.explode("entries").alias("e"),
+    ).select("e.*", "key", "part", "n", "sketch", "paths")
+    zero, mark = F.lit(0).cast(long), F.xxhash64("key", F.lit(1))
+    on_left = F.transform(
+        F.sequence(zero, F.col("rights") - 1),
+        lambda k: F.struct(F.pmod(mark, "lefts").alias("left"), k.alias("right"), F.lit(0).alias("side")),
     )
-    right = mine.select(
-        "path", F.explode(F.sequence(zero, F.col("lefts") - 1)).alias("left"), F.pmod(mark, "rights").alias("right"),
-        F.lit(1).alias("side"), "minor", "key", "part",
+    on_right = F.transform(
+        F.sequence(zero, F.col("lefts") - 1),
+        lambda k: F.struct(k.alias("left"), F.pmod(mark, "rights").alias("right"), F.lit(1).alias("side")),
     )
-    dealt = left.unionByName(right).join(sketches, "key").select(
-        "path", "left", "right", "side", "minor", "key", "part", "n", "sketch"
+    places = F.when(F.col("minor") == 1, F.concat(on_left, on_right)).otherwise(on_right)
+    dealt = each.withColumn("place", F.explode(places)).select(
+        "path", "place.left", "place.right", "place.side", "minor", "key", "part", "n", "sketch", "paths"
     )
     dealt = dealt.repartition("path", "left", "right").sortWithinPartitions("path", "left", "right")
     return dealt.mapInArrow(_compared, PAIRS)
@@ -370,12 +440,15 @@ def _joined(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
     read = id_and_bytes(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    sets = "doc_id long, mark long, n long, digest binary, tokens binary"
+    sets = "doc_id long, mark long, n long, digest binary, tokens binary, sketch binary"
     described = staged(read.mapInArrow(_described, sets), "described")
     full = described.filter("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "mark"))
-    heads = full.groupBy("digest").agg(first.alias("h"), F.any_value("tokens").alias("tokens"), F.max("n").alias("n"))
-    heads = heads.select("digest", F.col("h.doc_id").alias("head"), F.col("h.mark").alias("mark"), "tokens", "n")
+    heads = full.groupBy("digest").agg(
+        first.alias("h"), F.any_value("tokens").alias("tokens"),
+        F.any_value("sketch").alias("sketch"), F.max("n").alias("n"),
+    )
+    heads = heads.select("digest", F.col("h.doc_id").alias("head"), F.col("h.mark").alias("mark"), "tokens", "n", "sketch")
     # Written once, so that the numbers stay.
     classes = staged(heads.withColumn("key", F.monotonically_increasing_id()), "classes")
     parts = _joined(classes, read)
