@@ -21,6 +21,7 @@ from vigilog.functions.addresses import (
     parse_address,
     with_address,
 )
+from vigilog.session import staged
 
 # Fixed value: the answer for a bad address or one outside every block.
 UNKNOWN = "Unknown"
@@ -188,26 +189,56 @@ def _named(part: str) -> Column:
 
 
 def register_geo_functions(
-    spark: SparkSession, blocks: DataFrame, view: str = "geo_blocks"
+    spark: SparkSession, blocks: DataFrame, view: str = "geo_blocks", addresses: DataFrame | None = None
 ) -> None:
-    """SQL functions ``city(ip)`` and ``country(ip)``.
+    """SQL functions ``city(ip)`` and ``country(ip)``, and ``place(ip)`` with both as a struct.
 
-    They are SQL functions over a view of the blocks, so Catalyst plans each use
-    as the join above over the distinct addresses: no Python, nothing collected.
+    They are SQL functions over a view, so Catalyst plans each use as a join: no Python, nothing collected. Without
+    ``addresses`` each use looks its addresses up in the blocks. ``addresses``, one column, names the addresses
+    that will be asked for, such as those of the queried table: each distinct one is looked up once and kept
+    as a table, and a use is one equality join with it. Any other address is then ``Unknown``.
     """
+    if addresses is not None:
+        _register_known(spark, blocks, addresses, f"{view}_known")
+        return
     blocks.createOrReplaceTempView(view)
     lengths = prefix_lengths(blocks)
     candidates = f"CASE WHEN s.a IS NOT NULL THEN {_candidates_sql('s.a.hi', 's.a.lo', lengths)} END"
-    for name in ("city", "country"):
-        spark.sql(
-            f"""
-            CREATE OR REPLACE TEMPORARY FUNCTION {name}(ip STRING) RETURNS STRING RETURN (
-              SELECT CASE WHEN count(g.plen) = 0 THEN '{UNKNOWN}' 
-                     ELSE max(named_struct('p', g.plen, 'city', g.city, 'country', g.country)).{name} END
+    longest = "max(named_struct('p', g.plen, 'city', g.city, 'country', g.country))"
+
+    def lookup(answer: str, unknown: str) -> str:
+        return f"""
+              SELECT CASE WHEN count(g.plen) = 0 THEN {unknown} ELSE {answer} END
               FROM (
                 SELECT explode({candidates}) AS c
                 FROM (SELECT {address_sql('ip')} AS a) s
               ) k
-              JOIN {view} g ON g.plen = k.c.plen AND g.hi = k.c.hi AND g.lo = k.c.lo)
-            """
-        )
+              JOIN {view} g ON g.plen = k.c.plen AND g.hi = k.c.hi AND g.lo = k.c.lo"""
+
+    for name in ("city", "country"):
+        _create(spark, name, "STRING", lookup(f"{longest}.{name}", f"'{UNKNOWN}'"))
+    both = f"named_struct('city', {longest}.city, 'country', {longest}.country)"
+    _create(spark, "place", PLACE, lookup(both, _UNKNOWN_PLACE))
+
+
+PLACE = "STRUCT<city STRING, country STRING>"
+_UNKNOWN_PLACE = f"named_struct('city', '{UNKNOWN}', 'country', '{UNKNOWN}')"
+
+
+def _create(spark: SparkSession, name: str, kind: str, body: str) -> None:
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(ip STRING) RETURNS {kind} RETURN ({body})")
+
+
+def _register_known(spark: SparkSession, blocks: DataFrame, addresses: DataFrame, view: str) -> None:
+    column = addresses.columns[0]
+    asked = addresses.select(F.col(column).cast("string").alias("ip")).filter("ip is not null").distinct()
+    # Without a column of the parameter's name.
+    places = geo_lookup(asked, "ip", blocks).withColumnRenamed("ip", "known_ip")
+    staged(places, "places").createOrReplaceTempView(view)
+
+    def known(answer: str, unknown: str) -> str:
+        return f"SELECT CASE WHEN count(1) = 0 THEN {unknown} ELSE {answer} END FROM {view} k WHERE k.known_ip = ip"
+
+    for name in ("city", "country"):
+        _create(spark, name, "STRING", known(f"max(k.{name})", f"'{UNKNOWN}'"))
+    _create(spark, "place", PLACE, known("max(named_struct('city', k.city, 'country', k.country))", _UNKNOWN_PLACE))

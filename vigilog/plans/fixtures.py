@@ -7,11 +7,17 @@ counterparts for the oracle are in :mod:`vigilog.plans.oracle`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.operators.geo import blocks_from_ranges
 from vigilog.sources.exit_nodes import exit_nodes
+from vigilog.sources.objects import store_of
 
 EVENTS_PER_BATCH = 50
 ARRIVALS = 6
@@ -95,6 +101,44 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(audit_event_texts(spark, sf_dir)).select("value")
 
 
+EVENTS_PER_OBJECT = 500
+
+
+def _planted(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            first, second = (gzip.compress(f"{line}\n".encode(), mtime=0) for line in (row["first"], row["second"]))
+            kind = row["object"] % 5
+            content = {
+                0: first + second,
+                1: first + second[: len(second) // 2],
+                3: gzip.compress(b"", mtime=0),
+                4: row["first"].encode(),
+            }.get(kind)
+            if content is not None:
+                store, path = store_of(f"{folder}/o{row['object']}.json.gz")
+                store.create_dir(path.rsplit("/", 1)[0])
+                with store.open_output_stream(path, compression=None) as out:
+                    out.write(content)
+        yield batch.select(["object"])
+
+
+def plant_objects(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Writes objects of 500 events each and returns their ``object`` numbers.
+
+    An object has two lines, of its even and its odd events. By number modulo five it is whole, cut in its second
+    line, not there at all, empty, or text without gzip.
+    """
+    events = audit_event_texts(spark, sf_dir).withColumn("object", F.expr(f"event_id div {EVENTS_PER_OBJECT}"))
+
+    def line(rest: int) -> Column:
+        held = F.collect_list(F.when(F.col("event_id") % 2 == rest, F.col("event_json")))
+        return F.concat(F.lit('{"Records":['), F.array_join(held, ","), F.lit("]}"))
+
+    contents = events.groupBy("object").agg(line(0).alias("first"), line(1).alias("second"))
+    return contents.mapInArrow(partial(_planted, folder), "object long")
+
+
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with other root fields, blank lines and lines that are not JSON."""
     return table(spark, sf_dir, "events").select(

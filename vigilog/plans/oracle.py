@@ -406,7 +406,7 @@ ORACLE: dict[str, str] = {
     ),
     "profile_new_values": profiled("SELECT profiler, batch_id, value FROM fresh"),
     "profile_known_values": profiled(
-        "SELECT profiler, batch_id, value FROM judged WHERE NOT is_new", ["SourceIP-City"]
+        "SELECT profiler, batch_id, value FROM judged WHERE NOT is_new"
     ),
     "profile_compliance": profiled(
         "SELECT profiler, batch_id, n_current, n_new = 0 AS compliant FROM counts"
@@ -459,3 +459,28 @@ ORACLE["audit_saved_table"] = ORACLE["audit_root_usage"]
 ORACLE["access_saved_table"] = ORACLE["access_distinct_ip"]
 ORACLE["stream_both_inputs"] = ORACLE["stream_notified_events"]
 ORACLE["stream_rejects"] = ORACLE["audit_line_rejects"]
+ORACLE["audit_place_function"] = ORACLE["audit_geo_sql_functions"]
+
+_DEEP_FIELDS = """
+    CASE WHEN event_id % 9 = 1 THEN 'u' || user_id END AS identity_arn,
+    CASE WHEN event_id % 9 = 4 THEN 'deep' || user_id END AS deep_key,
+    CASE WHEN event_id % 9 = 5 THEN 'o' END AS z_arn,
+    CASE WHEN event_id % 9 = 6 THEN 'arn' END AS listed,
+    CASE WHEN event_id % 9 = 6 THEN '{"arn":"no"}' END AS note"""
+ORACLE["audit_variant_fields"] = f"""
+SELECT event_id, {_DEEP_FIELDS},
+    CASE WHEN event_id % 9 IN (0, 8) THEN 'STRING' WHEN event_id % 9 = 4 THEN 'BIGINT' WHEN event_id % 9 = 7 THEN 'BOOLEAN'
+         WHEN event_id % 9 = 5 THEN 'OBJECT<accessKeyId: STRING, arn: STRING>' END AS arn_type
+FROM events"""
+ORACLE["audit_inferred_columns"] = f"""
+SELECT {_DEEP_FIELDS}, CASE WHEN event_id % 9 = 2 THEN 'r' || (event_id % 5) END AS second_resource FROM events"""
+
+# Objects of 500 events: whole, cut after the even ones, missing, empty, or no gzip.
+_FAULT = "CASE k % 5 WHEN 1 THEN 'cut after 1 lines' WHEN 2 THEN 'missing' WHEN 3 THEN 'empty' WHEN 4 THEN 'not gzip' END"
+ORACLE["stream_object_rejects"] = f"""
+WITH o AS (SELECT event_id, event_id // 500 AS k FROM events)
+SELECT k AS object, 'e' || event_id AS event_id, NULL AS reason FROM o WHERE k % 5 = 0 OR (k % 5 = 1 AND event_id % 2 = 0)
+UNION ALL SELECT DISTINCT k, NULL, {_FAULT} FROM o WHERE k % 5 > 0"""
+ORACLE["stream_replay_rejects"] = f"""
+SELECT DISTINCT 'object' AS source, event_id // 500 AS object, {_FAULT.replace("k %", "event_id // 500 %")} AS reason
+FROM events WHERE (event_id // 500) % 5 IN (1, 3, 4)"""

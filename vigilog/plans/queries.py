@@ -73,9 +73,19 @@ def audit_geo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_geo_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    addresses = audit_view(spark, sf_dir).select("sourceIPAddress")
+    register_geo_functions(spark, fixtures.geo_blocks(spark, sf_dir), addresses=addresses)
+    return spark.sql(GEO_SQL)
+
+
+def audit_place_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City and country by one function, looked up where it is used."""
     audit_view(spark, sf_dir)
     register_geo_functions(spark, fixtures.geo_blocks(spark, sf_dir))
-    return spark.sql(GEO_SQL)
+    return spark.sql(
+        "select a as sourceIpAddress, p.city, p.country from (select a, place(a) as p from "
+        "(select distinct sourceIpAddress as a from cloudtrail))"
+    )
 
 
 def net_geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +114,30 @@ def audit_unnest_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.unnest_all_fields(fixtures.mixed_lines(spark, sf_dir))
 
 
+def audit_variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no schema names, read by path from SQL beside typed columns."""
+    events = fixtures.deep_events(spark, sf_dir)
+    register(audit.variant_events(events, "event_id"), AUDIT_TABLE)
+    return spark.sql(
+        """select event_id, userIdentity.arn as identity_arn,
+                  variant_get(event, '$.q.w[0][0].accessKeyId', 'string') as deep_key,
+                  variant_get(event, '$.z.arn', 'string') as z_arn,
+                  variant_get(event, '$.list[0]', 'string') as listed,
+                  variant_get(event, '$.note', 'string') as note,
+                  schema_of_variant(variant_get(event, '$.arn', 'variant')) as arn_type
+           from cloudtrail"""
+    )
+
+
+def audit_inferred_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields as columns, by inference over all events."""
+    events = audit.inferred_events(fixtures.deep_events(spark, sf_dir).select("event_json"))
+    return events.selectExpr(
+        "userIdentity.arn AS identity_arn", "q.w[0][0].accessKeyId AS deep_key", "z.arn AS z_arn",
+        "list[0] AS listed", "note", "get(resources, 1).arn AS second_resource",
+    )
+
+
 def audit_line_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.line_rejects(fixtures.mixed_lines(spark, sf_dir))
 
@@ -258,7 +292,7 @@ def profile_new_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.known_values(seen(spark, sf_dir, [P.GEO_CITY_PROFILER]))
+    return profiles.known_values(seen(spark, sf_dir, ALL_PROFILERS))
 
 
 def profile_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +392,14 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.rejected_lines(spark, sf_dir)
 
 
+def stream_object_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.faulty_objects(spark, sf_dir)
+
+
+def stream_replay_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replayed_rejects(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -369,6 +411,9 @@ QUERIES: dict[str, Query] = {
         audit_object_listing,
         audit_unnest_records,
         audit_unnest_all_fields,
+        audit_place_function,
+        audit_variant_fields,
+        audit_inferred_columns,
         audit_line_rejects,
         audit_saved_table,
         access_parse,
@@ -415,5 +460,7 @@ QUERIES: dict[str, Query] = {
         stream_notified_events,
         stream_both_inputs,
         stream_rejects,
+        stream_object_rejects,
+        stream_replay_rejects,
     )
 }

@@ -14,6 +14,7 @@ from vigilog.sources.audit import (
     typed_events,
     typed_records,
     unnest_records,
+    variant_events,
 )
 
 # The table names users query.
@@ -28,13 +29,16 @@ def audit_events(
     tolerant: bool = False,
     infer: bool = False,
     keep_text: bool = False,
+    keep_variant: bool = False,
 ) -> DataFrame:
     """The events of all audit-log objects below the paths, as columns.
 
-    ``keep_text`` adds the original ``event_json``; ``infer`` takes the columns
-    from the data instead of the fixed schema.
+    ``keep_text`` adds the original ``event_json``, ``keep_variant`` the event as a VARIANT column ``event``,
+    which SQL reads by path; ``infer`` takes the columns from the data instead of the fixed schema.
     """
     lines = read_lines(spark, paths, tolerant)
+    if keep_variant:
+        return variant_events(unnest_records(lines))
     if infer:
         return inferred_events(unnest_records(lines))
     return typed_events(unnest_records(lines)) if keep_text else typed_records(lines)
@@ -77,9 +81,10 @@ def create_audit_table(
     infer: bool = False,
     cache: bool = True,
     rejects: str | None = None,
+    keep_variant: bool = False,
 ) -> DataFrame:
     write_rejects(line_rejects(read_lines(spark, paths)), rejects)
-    return register(audit_events(spark, paths, infer=infer), AUDIT_TABLE, cache)
+    return register(audit_events(spark, paths, infer=infer, keep_variant=keep_variant), AUDIT_TABLE, cache)
 
 
 def with_event_date(events: DataFrame) -> DataFrame:

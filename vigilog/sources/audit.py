@@ -102,20 +102,16 @@ def unnest_all_fields(lines: DataFrame) -> DataFrame:
     return children.select(F.to_json("node").alias("event_json"))
 
 
+def record_fault(line: Column) -> Column:
+    """Why a line yields no events, null for blank lines and for lines that hold a ``Records`` list."""
+    reason = F.when(F.try_parse_json(line).isNull(), "not JSON").otherwise("no Records list")
+    return F.when((F.trim(line) != "") & _records(line).isNull(), reason)
+
+
 def line_rejects(lines: DataFrame, source: str = "audit") -> DataFrame:
     """Non-blank lines that hold no readable ``Records`` list, with the reason."""
-    parsed = _records(F.col("value"))
-    return (
-        lines.filter(F.trim("value") != "")
-        .filter(parsed.isNull())
-        .select(
-            F.lit(source).alias("source"),
-            F.col("value").alias("line"),
-            F.when(F.try_parse_json("value").isNull(), "not JSON")
-            .otherwise("no Records list")
-            .alias("reason"),
-        )
-    )
+    faulty = lines.select("value", record_fault(F.col("value")).alias("reason")).filter("reason is not null")
+    return faulty.select(F.lit(source).alias("source"), F.col("value").alias("line"), "reason")
 
 
 def typed_records(lines: DataFrame) -> DataFrame:
@@ -134,6 +130,17 @@ def typed_events(events: DataFrame, *carry: str) -> DataFrame:
     return events.select(*carry, "event_json", F.inline(parsed))
 
 
+def variant_events(events: DataFrame, *carry: str) -> DataFrame:
+    """The typed columns and the whole event as ``event``, a VARIANT that any path can be read from.
+
+    ``variant_get(event, '$.any.field[0]', 'string')`` reaches fields that the schema does not know, without another
+    look at the text. Text that is not JSON has no event.
+    """
+    whole = events.select(*carry, "event_json", F.try_parse_json("event_json").alias("event"))
+    parsed = F.array(F.from_json("event_json", AUDIT_EVENT))
+    return whole.select(*carry, "event", F.inline(parsed))
+
+
 #: A quoted name, or a type of the variant notation where a type stands.
 _NOTATION = re.compile(
     r"`(?:[^`]|``)*`|(?:^|(?<=: )|(?<=<))(OBJECT(?=<)|VARIANT(?=[,>]|$)|VOID(?=[,>]|$))"
