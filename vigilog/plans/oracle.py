@@ -484,3 +484,4 @@ UNION ALL SELECT DISTINCT k, NULL, {_FAULT} FROM o WHERE k % 5 > 0"""
 ORACLE["stream_replay_rejects"] = f"""
 SELECT DISTINCT 'object' AS source, event_id // 500 AS object, {_FAULT.replace("k %", "event_id // 500 %")} AS reason
 FROM events WHERE (event_id // 500) % 5 IN (1, 3, 4)"""
+ORACLE["stream_ingested_counts"] = f"SELECT {ARRIVAL} AS batch_id, count(*) AS events FROM events GROUP BY 1"

@@ -400,6 +400,10 @@ def stream_replay_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed_rejects(spark, sf_dir)
 
 
+def stream_ingested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.ingested(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -462,5 +466,6 @@ QUERIES: dict[str, Query] = {
         stream_rejects,
         stream_object_rejects,
         stream_replay_rejects,
+        stream_ingested_counts,
     )
 }
