@@ -114,3 +114,23 @@ def test_functions_over_known_addresses(spark):
     assert ("11.1.1.1", None, "V", None) in want
     # An address nobody announced.
     assert spark.sql("select city('10.1.9.9') as c").first().c == "Unknown"
+
+
+def test_frequencies_against_a_plain_count(spark):
+    from collections import defaultdict
+
+    from vigilog.operators.frequency import frequency_alerts
+
+    counts = [("p", b, v, 3 + (b * 7 + len(v or "")) % 3 + 40 * (b == 8190)) for b in range(0, 9000, 3) for v in ("a", "bb")]
+    counts += [("p", b, "steady", 4 + (b == 20)) for b in range(21)] + [("p", b, None, 1 + 9 * (b == 8)) for b in range(9)]
+    held, want = defaultdict(list), []
+    for p, b, v, n in sorted(counts, key=lambda r: r[1]):
+        past = held[p, v]
+        s, q = sum(past), sum(x * x for x in past)
+        if len(past) >= 5 and (len(past) * n - s) ** 2 > 9 * (len(past) * q - s * s):
+            want.append((p, v, b, n, len(past), s, q, len(past) * n > s))
+        past.append(n)
+    frame = spark.createDataFrame(counts, "profiler string, batch_id bigint, value string, n bigint")
+    found = [tuple(r) for r in frequency_alerts(frame).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert {r[1] for r in want} == {"a", "bb", "steady", None}

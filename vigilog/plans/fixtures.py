@@ -242,7 +242,12 @@ def network_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_exit_lines(spark, sf_dir).select("value")
+
+
+def numbered_exit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("number"),
         F.expr(
             """
             CASE WHEN s_suppkey % 3 = 0 THEN concat('ExitAddress ', 11 + s_suppkey % 30, '.',
@@ -252,7 +257,7 @@ def exit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                  WHEN s_suppkey % 15 = 2 THEN concat('ExitAddress 300.1.2.', s_suppkey % 256, ' x')
                  ELSE concat('ExitNode ', s_suppkey) END
             """
-        ).alias("value")
+        ).alias("value"),
     )
 
 

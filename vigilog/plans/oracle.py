@@ -485,3 +485,34 @@ ORACLE["stream_replay_rejects"] = f"""
 SELECT DISTINCT 'object' AS source, event_id // 500 AS object, {_FAULT.replace("k %", "event_id // 500 %")} AS reason
 FROM events WHERE (event_id // 500) % 5 IN (1, 3, 4)"""
 ORACLE["stream_ingested_counts"] = f"SELECT {ARRIVAL} AS batch_id, count(*) AS events FROM events GROUP BY 1"
+ORACLE["alerts_frequency"] = _with(
+    EVENT, GEO, PLACES, """
+each AS (
+  SELECT 'accessKeyId' AS profiler, batch_id, access_key AS value FROM ev WHERE NOT starts_with(access_key, 'ASIA')
+  UNION ALL SELECT 'arn', batch_id, arn FROM ev
+  UNION ALL SELECT 'principalId', batch_id, principal FROM ev
+  UNION ALL SELECT 'sourceIPAddress', batch_id, ip FROM ev
+  UNION ALL SELECT 'SourceIP-City', batch_id, city FROM ev JOIN places USING (ip)
+  UNION ALL SELECT 'SourceIP-Country', batch_id, country FROM ev JOIN places USING (ip)),
+shown AS (SELECT profiler, batch_id, value, count(*) AS n FROM each GROUP BY ALL),
+history AS (
+  SELECT *, count(*) OVER w AS batches, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS events,
+    CAST(coalesce(sum(n * n) OVER w, 0) AS BIGINT) AS squares
+  FROM shown WINDOW w AS (PARTITION BY profiler, value ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    select="""SELECT *, batches * n > events AS more FROM history
+    WHERE batches >= 5 AND (batches * n - events) ** 2 > 9 * (batches * squares - events * events)""",
+)
+ORACLE["stream_exit_reload"] = _with(
+    EVENT, f"""
+shown AS (SELECT DISTINCT {ARRIVAL} AS batch_id, ip FROM ev),
+batches AS (SELECT DISTINCT batch_id FROM shown),
+versions AS (
+  SELECT DISTINCT batch_id, (11 + s_suppkey % 30) || '.' || (s_suppkey % 256) || '.' || (s_suppkey % 4) || '.' ||
+    (1 + s_suppkey % 200) AS ip
+  FROM supplier, batches WHERE s_suppkey % 3 = 0 AND (batch_id IN (1, 4, 5) OR (batch_id = 2 AND s_suppkey % 2 = 0))),
+sizes AS (SELECT batch_id, count(*) AS entries FROM versions GROUP BY 1),
+sent AS (SELECT batch_id, count(*) AS sightings FROM shown JOIN versions USING (batch_id, ip) GROUP BY 1)""",
+    select="""SELECT batch_id, coalesce(entries, 0) AS entries, entries IS NOT NULL AS is_dated,
+      CASE WHEN entries IS NULL THEN 'missing or empty' END AS reason, coalesce(sightings, 0) AS sightings
+    FROM batches LEFT JOIN sizes USING (batch_id) LEFT JOIN sent USING (batch_id)""",
+)

@@ -18,6 +18,7 @@ from vigilog.operators.alerts import (
     sighting_messages,
 )
 from vigilog.operators.exits import from_exit_nodes, with_exit_flag
+from vigilog.operators.frequency import frequencies, frequency_alerts
 from vigilog.operators.geo import geo_lookup, read_blocks, register_geo_functions
 from vigilog.plans import fixtures
 from vigilog.plans.tables import (
@@ -347,6 +348,17 @@ def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deviation_messages(alerts, profiles.alert_values(found, alerts).unionByName(held))
 
 
+def alerts_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that show in a batch more or less often than their history has it."""
+    counts = frequencies(
+        fixtures.audit_event_texts(spark, sf_dir),
+        ALL_PROFILERS,
+        fixtures.geo_blocks(spark, sf_dir),
+        fixtures.exit_list(spark, sf_dir),
+    )
+    return frequency_alerts(staged(counts, "frequencies"))
+
+
 def sent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts and messages per profiler and batch, as a table: running totals read it twice."""
     return staged(profiles.increments(seen(spark, sf_dir, ALL_PROFILERS)), "sent")
@@ -404,6 +416,10 @@ def stream_ingested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.ingested(spark, sf_dir)
 
 
+def stream_exit_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.exit_reloads(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -456,6 +472,7 @@ QUERIES: dict[str, Query] = {
         alerts_tor,
         alert_values,
         alert_bodies,
+        alerts_frequency,
         alert_counts_running,
         profile_status,
         stream_alerts,
@@ -467,5 +484,6 @@ QUERIES: dict[str, Query] = {
         stream_object_rejects,
         stream_replay_rejects,
         stream_ingested_counts,
+        stream_exit_reload,
     )
 }

@@ -53,4 +53,5 @@ STATUS = (
     "update_count bigint, profile_size bigint, profile_base bigint, line string"
 )
 EXIT_NODES = "ip string, hi bigint, lo bigint, retrieved_at timestamp"
+LISTS = "list string, entries bigint, retrieved_at timestamp, reason string"
 GEO_BLOCKS = "plen int, hi bigint, lo bigint, city string, country string"

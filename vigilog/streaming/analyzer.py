@@ -92,6 +92,24 @@ class Analyzer:
         self.plain = [p.name for p in profilers if p.keeps_value]
         self.derived = [p.name for p in profilers if p.kind == DEVIATION and not p.keeps_value]
 
+    def exit_list(self, n: int) -> DataFrame | None:
+        """The exit nodes as this batch finds them, kept as the batch's version of the list.
+
+        The table ``lists`` says what was loaded, and names the fault when there is nothing: without a list
+        no sighting is reported, which must not pass for a quiet day.
+        """
+        if self.nodes is None or not any(p.uses("is_exit") for p in self.profilers):
+            return _now(self.nodes)
+        store = self.store
+        store.write("exit_nodes", n, _now(self.nodes).select("ip", "hi", "lo", "retrieved_at"))
+        nodes = store.read("exit_nodes", n)
+        fault = F.when(F.count(F.lit(1)) == 0, "missing or empty").alias("reason")
+        store.write("lists", n, nodes.agg(
+            F.lit("exit nodes").alias("list"), F.count(F.lit(1)).alias("entries"),
+            F.max("retrieved_at").alias("retrieved_at"), fault,
+        ))
+        return nodes
+
     def judge(self, touched: DataFrame, n: int, base: int) -> DataFrame:
         """``(profiler, kind, value, is_new)`` of the batch."""
         observed = touched.select(
@@ -100,7 +118,7 @@ class Analyzer:
         shown = (
             expanded(
                 enriched(
-                    observed, self.profilers, _now(self.blocks), _now(self.nodes), self.lengths
+                    observed, self.profilers, _now(self.blocks), self.exit_list(n), self.lengths
                 ),
                 self.profilers,
                 "is_new",
@@ -228,7 +246,8 @@ def start_analyzer(
     """Profiles a stream of ``event_json`` and writes profiles, alerts and status.
 
     ``blocks`` and ``nodes`` are the geo blocks and exit nodes, or functions that
-    load them, called for every batch. ``store`` and ``checkpoint`` belong
+    load them, called for every batch; each batch keeps its version of the nodes and tells in the table ``lists`` whether
+    there were any. ``store`` and ``checkpoint`` belong
     together: keep both to resume, change both to start afresh. An alert text with
     more than ``values_per_part`` values in a list goes on in further parts. The number of
     ingested events is in the progress of the query, metric ``ingested``.

@@ -19,6 +19,8 @@ TABLES = {
     "alerts": schemas.ALERTS,
     "alert_messages": schemas.ALERT_MESSAGES,
     "status": schemas.STATUS,
+    "exit_nodes": schemas.EXIT_NODES,
+    "lists": schemas.LISTS,
 }
 
 
