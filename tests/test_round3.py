@@ -3,11 +3,14 @@
 import gzip
 import io
 import os
+import random
 
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from vigilog.operators import alerts, profiles
+from vigilog.operators import profilers as P
 from vigilog.operators.geo import blocks_from_networks, register_geo_functions
 from vigilog.sources import audit
 from vigilog.sources.objects import lines_of, object_lines, object_rejects, read_objects
@@ -134,3 +137,23 @@ def test_frequencies_against_a_plain_count(spark):
     found = [tuple(r) for r in frequency_alerts(frame).collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert {r[1] for r in want} == {"a", "bb", "steady", None}
+
+
+@pytest.mark.parametrize("per_part", [2, 1000])
+def test_shared_profile_lists_give_each_alert_its_own_profile(spark, monkeypatch, per_part):
+    """Lists shared by blocks of alerts, against every earlier value joined with every alert."""
+    monkeypatch.setattr(alerts, "BLOCK", 4)
+    rng = random.Random(per_part)
+    pool = [None, *(f"v{i}" for i in range(40))]
+    rows = {(p, P.DEVIATION, b, v) for p in "xyz" for b in range(25) for v in rng.sample(pool, 3)}
+    seen = spark.createDataFrame(sorted(rows, key=str), "profiler string, kind string, batch_id long, value string")
+    found, profile = profiles.deviations(seen), profiles.first_seen(seen)
+    shown = profiles.alert_values(seen, found)
+    joined = alerts.deviation_messages(found, shown.unionByName(profiles.profile_lists(profile, found)), per_part)
+    shared = alerts.deviation_messages(found, shown, per_part, profile)
+    got = sorted(map(tuple, shared.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and len(got) > found.count() * (per_part == 2)
+    held = alerts.versioned_lists(
+        found.selectExpr("profiler", "batch_id", "1L AS parts", "floor(batch_id / 4) AS block"), profile
+    )
+    assert held.filter("size(held) > 41").isEmpty()

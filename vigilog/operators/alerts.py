@@ -11,6 +11,9 @@ from vigilog.functions.text import joined, printed
 #: go on in further rows, numbered and complete.
 VALUES_PER_PART = 10_000
 
+#: Batches whose alerts share one copy of the profile's lists, and the keys that the making of the lists is spread over.
+BLOCK, SPREAD = 4096, 64
+
 # The wording of the alerts.
 EOL = "\r\n"
 DEVIATION_SUBJECT = "CloudTrail Profile Mismatch for "
@@ -57,8 +60,32 @@ def deviation_subject(profiler: Column) -> Column:
     return F.concat(F.lit(DEVIATION_SUBJECT), profiler)
 
 
+def versioned_lists(split: DataFrame, profile: DataFrame) -> DataFrame:
+    """``(profiler, parts, block, part, held)``: the profile as sorted lists that the alerts of a block share.
+
+    An entry of ``held`` has the ``text`` of a value and its ``first_batch``, so that an alert takes what is older
+    than itself. ``split(profiler, batch_id, parts, block)`` are the alerts. A profiler's values are listed once for each number of
+    parts and block in use, not once per alert; a list has as many values as a part may have.
+    """
+    levels = split.groupBy("profiler", "parts", "block").agg(F.max("batch_id").alias("upto"))
+    levels = levels.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    text = printed(F.col("value"))
+    values = profile.select(
+        "profiler", "first_batch", text.alias("text"), F.pmod(F.xxhash64(text), F.lit(SPREAD)).cast("int").alias("salt")
+    )
+    return (
+        values.join(levels, ["profiler", "salt"])
+        .filter("first_batch < upto")
+        .groupBy("profiler", "parts", "block", part_of(F.col("text"), F.col("parts")).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("text", "first_batch"))).alias("held"))
+    )
+
+
 def deviation_messages(
-    alerts: DataFrame, sections: DataFrame, per_part: int = VALUES_PER_PART
+    alerts: DataFrame,
+    sections: DataFrame,
+    per_part: int = VALUES_PER_PART,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Subject and body of each alert.
 
@@ -66,6 +93,8 @@ def deviation_messages(
     alert, ``sections(profiler, batch_id, section, value)`` what it lists. The
     lists are sorted. An alert with more than ``per_part`` values in a list goes out
     in ``parts`` texts of the same form, each listing its share of every set.
+    ``profile(profiler, value, first_batch)`` are the profiles over all batches: each alert lists what
+    its batch found there. Without it, the profile is one of the sections.
     """
     split = alerts.select(
         "profiler",
@@ -94,6 +123,13 @@ def deviation_messages(
         .groupBy(*split.columns, "part")
         .agg(*[share(s) for s in (NEW, CURRENT, PROFILE, INTERSECTION)])
     )
+    if profile is not None:
+        block = F.floor(F.col("batch_id") / BLOCK).alias("block")
+        held = versioned_lists(split.select("*", block), profile)
+        older = F.filter("held", lambda v: v["first_batch"] < F.col("batch_id"))
+        texts = F.transform(older, lambda v: v["text"])
+        lists = lists.select("*", block).join(held, ["profiler", "parts", "block", "part"], "left")
+        lists = lists.withColumn(PROFILE, F.coalesce(texts, F.array().cast("array<string>")))
     body = F.concat(
         F.lit(NEW_LABEL), joined(F.col(NEW)), F.lit(EOL),
         F.lit(EOL + CURRENT_LABEL), joined(F.col(CURRENT)), F.lit(EOL),

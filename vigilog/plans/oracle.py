@@ -427,9 +427,7 @@ ORACLE: dict[str, str] = {
           CASE WHEN is_new THEN 'new' ELSE 'intersection' END]) AS section, j.value
         FROM judged j JOIN dev ON dev.profiler = j.profiler AND dev.batch_id = j.batch_id"""
     ),
-    "alert_bodies": profiled(
-        f", {BODY.strip()} SELECT * FROM bodies", ["SourceIP-City", "SourceIP-Country"]
-    ),
+    "alert_bodies": profiled(f", {BODY.strip()} SELECT * FROM bodies"),
     "alert_counts_running": profiled(
         """SELECT profiler, batch_id,
         count(*) OVER (PARTITION BY profiler ORDER BY batch_id) AS alert_count FROM sent"""

@@ -340,12 +340,12 @@ def alert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole alert texts of the place profilers, whose profiles the number of
-    named places bounds. Other profilers get theirs batch by batch, in the stream."""
-    found = seen(spark, sf_dir, [P.GEO_CITY_PROFILER, P.GEO_COUNTRY_PROFILER])
+    """Whole alert texts of every profiler, each with the profile its batch found."""
+    found = seen(spark, sf_dir, ALL_PROFILERS)
     alerts = staged(profiles.deviations(found), "alerts")
-    held = profiles.profile_lists(profiles.first_seen(found), alerts)
-    return deviation_messages(alerts, profiles.alert_values(found, alerts).unionByName(held))
+    return deviation_messages(
+        alerts, profiles.alert_values(found, alerts), profile=profiles.first_seen(found)
+    )
 
 
 def alerts_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

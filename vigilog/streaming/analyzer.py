@@ -38,7 +38,7 @@ from vigilog.operators.profilers import (
     profiled_fields,
     wanted,
 )
-from vigilog.operators.profiles import profile_lists, status_line
+from vigilog.operators.profiles import status_line
 from vigilog.session import ROCKSDB_PROVIDER
 from vigilog.streaming.store import Store
 
@@ -214,11 +214,8 @@ class Analyzer:
         here = F.lit(n).cast("bigint").alias("batch_id")
         headers = alert_rows.filter(F.col("kind") == DEVIATION).select("*", here)
         shown = judged.filter(F.col("profiler").isin(names)).select("*", here)
-        sections = sections_of(shown)
-        if names:
-            held = self.store.profile(n, base, names)
-            sections = sections.unionByName(profile_lists(held, headers))
-        deviating = deviation_messages(headers, sections, self.per_part).select(
+        held = self.store.profile(n, base, names) if names else None
+        deviating = deviation_messages(headers, sections_of(shown), self.per_part, held).select(
             "profiler", F.lit(DEVIATION).alias("kind"), F.lit(None).cast("string").alias("address"),
             "part", "parts", "subject", "body",
         )
