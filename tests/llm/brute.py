@@ -111,3 +111,22 @@ def removed(texts: list[bytes], length: int) -> list[list[bool]]:
                 gone[i : i + length] = [True] * length
         out.append(gone)
     return out
+
+
+def bootstrap(edges, total, confident, support):
+    """Words to extract with: (word, value, trusted) edges scored over and over, far past where they settle."""
+    seeds = {v for _, v, trusted in edges if trusted}
+    score = {v: float(v in seeds) for _, v, _ in edges}
+    reach = {w: {v for x, v, _ in edges if x == w} for w in total}
+    confidence = {}
+    for _ in range(300):
+        confidence = {
+            w: sum(score[v] for x, v, _ in edges if x == w) / (total[w] + 1)
+            for w in total
+            if sum(score[v] >= confident for v in reach[w]) >= support
+            and sum(x == w for x, _, _ in edges) / (total[w] + 1) >= confident
+        }
+        score = {
+            v: max([float(v in seeds), *(confidence[w] for w in confidence if v in reach[w])]) for v in score
+        }
+    return {w for w, c in confidence.items() if c >= confident}

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import pytest
@@ -80,6 +81,33 @@ def test_discovered_instances_induce_patterns(make):
     assert got[300]["spans"] == "phone:12:23" and got[301]["spans"] == ""
 
 
+def test_rounds_go_on_until_the_scores_settle(make):
+    """One seed in five of the word's uses: trust comes up slowly, but it does come up to the threshold."""
+    rows = [(i, f"lamp{i} Phone: +1 555 010 {1000 + i} here{i}") for i in range(20)]
+    rows += [(100 + i, f"say{i} Phone: 555-01{i:02d}-7{i % 9} day{i}") for i in range(80)]
+    got = by_id(pii.find_personal_data(make(rows, SCHEMA)))
+    assert sum(got[100 + i]["spans"] != "" for i in range(80)) == 80
+
+
+def test_scores_are_those_of_a_plain_bootstrap(spark):
+    rng = random.Random(5)
+    words = [f"w{i}:" for i in range(12)]
+    edges = [
+        (rng.choice(words), f"n{rng.randint(0, 60)}", rng.random() < 0.3) for _ in range(400)
+    ]
+    spent = Counter(w for w, _, _ in edges)
+    total = {w: n + (i % 4) * n // 3 for i, (w, n) in enumerate(sorted(spent.items()))}
+    sides = {True: [], False: []}
+    for word, value, trusted in edges:
+        sides[trusted].append(("phone", value, word, ""))
+    schema = "kind string, value string, left string, right string"
+    got = pii.score_patterns(
+        spark.createDataFrame(sides[True], schema), spark.createDataFrame(sides[False], schema),
+        spark.createDataFrame(list(total.items()), "word string, n long"),
+    )
+    assert {r["word"] for r in got.collect()} == brute.bootstrap(edges, total, pii.CONFIDENT, pii.SUPPORT)
+
+
 def test_personal_data_of_nothing(empty):
     assert pii.find_personal_data(empty).count() == 0
 

@@ -125,6 +125,16 @@ def test_long_threads(spark):
     assert [t["text"] for t in row["t"]] == [f"t{i}" for i in range(1, 300)]
 
 
+def test_turns_without_a_conversation_belong_together(make):
+    turns = [(None, 1, "user", "hi"), (None, 2, "assistant", "there"), (7, 1, "assistant", "alone")]
+    table = make(turns, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_branches(chat.as_tree(table, "conv_id", "turn", "role", "text"))
+    report = {r["conv_id"]: r for r in chat.conversation_report(formatted).collect()}
+    assert set(report) == {None, 7} and report[None]["n_turns"] == 2 and report[None]["loss_chars"] == 5
+    loose = make([(1, None, None, "user", "x", 0.0)], "tree long, node long, parent long, role string, text string, score double")
+    assert chat.format_branches(loose).count() == 0
+
+
 def test_no_conversations(make):
     none = make([], "conv_id long, turn long, role string, text string")
     tree = chat.as_tree(none, "conv_id", "turn", "role", "text")

@@ -13,8 +13,9 @@ backslashes restores it. The loss mask is a list of character ranges of the form
 
 All steps are joins on (tree, node), which spread within a tree, and grouped aggregates; no Python runs.
 
-Defined cases: a null text or role is empty; a reply to a missing message starts a thread; messages in a
-cycle have no top and are left out; of rows that repeat a node the least (parent, role, text) counts once; equal scores
+Defined cases: a null text or role is empty; rows without a tree belong together, to one tree of their own; rows
+without a node are left out; a reply to a missing message starts a thread; messages in a cycle have no top and
+are left out; of rows that repeat a node the least (parent, role, text) counts once; equal scores
 rank by length, then by node; an empty table gives an empty result. Other columns are not read.
 """
 
@@ -74,11 +75,22 @@ def _climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         reach *= 2
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The tree as a struct, which is never null, so that joins meet rows without a tree as well."""
+    return messages.withColumn("tree", F.struct("tree"))
+
+
 def branches(messages: DataFrame, most: int = 1) -> DataFrame:
     """(tree, top, leaf, rank, node, depth) of every message on the ``most`` best branches of each thread.
 
-    ``messages``: tree, node, parent, role, text, score.
+    ``messages``: tree, node, parent, score, and what else it may hold.
     """
+    found = _branches(_keyed(messages.filter("node is not null")), most)
+    return found.withColumn("tree", F.col("tree.tree"))
+
+
+def _branches(messages: DataFrame, most: int) -> DataFrame:
+    """:func:`branches` of messages by :func:`_keyed` trees."""
     known, steps = _climbed(messages)
     parents = messages.select("tree", F.col("parent").alias("node")).filter("node is not null")
     leaves = known.join(parents, ["tree", "node"], "left_anti")
@@ -107,7 +119,7 @@ def turn(role: Column, text: Column) -> Column:
 
 def format_branches(messages: DataFrame, most: int = 1, trained: str = "assistant") -> DataFrame:
     """tree, top, rank, formatted, loss (array of (start, end), code points): one row per branch."""
-    rows = messages.select(
+    rows = _keyed(messages.filter("node is not null")).select(
         "tree", "node", "parent",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
@@ -116,7 +128,7 @@ def format_branches(messages: DataFrame, most: int = 1, trained: str = "assistan
         F.min(F.struct("parent", "role", "text", "score")).alias("m")
     )
     once = staged(once.select("tree", "node", "m.*"), "messages")
-    chosen = branches(once.select("tree", "node", "parent", "score"), most)
+    chosen = _branches(once.select("tree", "node", "parent", "score"), most)
     opened = len(MARKS[trained][0])
     closed = len(MARKS[trained][1])
     turns = chosen.join(once.select("tree", "node", "role", "text"), ["tree", "node"]).select(
@@ -130,7 +142,7 @@ def format_branches(messages: DataFrame, most: int = 1, trained: str = "assistan
         f"if(t.is_trained, concat(acc.spans, array(named_struct('start', acc.at + {opened}, 'end', acc.at + length(t.out) - {closed}))), acc.spans))).spans"
     )
     return grouped.select(
-        "tree", "top", "rank",
+        "tree.tree", "top", "rank",
         F.concat(F.lit(START), F.array_join(F.transform("turns", lambda t: t["out"]), "")).alias("formatted"),
         loss.alias("loss"),
     )

@@ -6,7 +6,7 @@ like an identifier of a kind (a number without its prefix, an address without a
 instances form a graph that is scored in rounds: a pattern is as good as the share of its word's
 occurrences in the whole corpus that stand beside trusted instances, an instance as good as its best
 pattern. A pattern counts once enough different trusted instances stand beside it: seeds, or tokens that
-confident patterns discovered, so these bring in patterns of their own, round after round until no more come.
+confident patterns discovered, so these bring in patterns of their own, round after round until no score rises.
 Tokens beside patterns of high confidence and wide enough support are added as spans.
 
 How it scales: texts are scanned, never shuffled; what leaves the scan are the matches with the word on
@@ -49,8 +49,9 @@ LOOKS = {
     "card": r"^[0-9][0-9.\-/]{10,22}[0-9]$",
     "phone": r"^\(?[0-9][0-9().\-/]{5,20}[0-9]$",
 }
-#: A pattern's least confidence, its least number of different trusted instances, and the least rounds of scoring.
-CONFIDENT, SUPPORT, ROUNDS = 0.8, 3, 3
+#: A pattern's least confidence, its least number of different trusted instances, and the change of a score below
+#: which the rounds have settled.
+CONFIDENT, SUPPORT, SETTLED = 0.8, 3, 1e-4
 #: Characters on either side of a match that are searched for the neighbouring word.
 CONTEXT = 80
 
@@ -181,9 +182,14 @@ def score_patterns(
     words: DataFrame,
     confident: float = CONFIDENT,
     support: int = SUPPORT,
-    rounds: int = ROUNDS,
+    settled: float = SETTLED,
 ) -> DataFrame:
-    """(kind, side, word) of the patterns to extract with."""
+    """(kind, side, word) of the patterns to extract with.
+
+    Every round computes all scores anew from those before. They start at the seeds and only rise, since a
+    pattern gains confidence and support with the scores beside it and an instance gains with its best pattern; so
+    the rounds reach a fixed point, and they go on until no score rises by ``settled`` or more.
+    """
     edges = _edges(seeds, True).unionByName(_edges(unseen, False))
     keys = ["kind", "side", "word"]
     reach = edges.groupBy(*keys).agg(
@@ -205,19 +211,14 @@ def score_patterns(
         )
         return rows.filter(F.col("support") >= support).drop("support")
 
-    done, before = 0, None
     while True:
         best = graph.join(scored(trust), keys, "left").groupBy("kind", "value").agg(
             F.greatest(F.max(F.col("trusted").cast("double")), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score")
         )
-        trust = staged(best, "trust")
-        now = tuple(trust.agg(
-            F.count(F.when(F.col("score") >= confident, 1)), F.count(F.when(F.col("score") > 0, 1))
-        ).first())
-        done += 1
-        if now == before and done >= rounds:
+        old, trust = trust.withColumnRenamed("score", "old"), staged(best, "trust")
+        rise = trust.join(old, ["kind", "value"]).agg(F.max(F.col("score") - F.col("old"))).first()[0]
+        if rise is None or rise < settled:
             break
-        before = now
     return scored(trust).filter(F.col("confidence") >= confident).select(*keys)
 
 
