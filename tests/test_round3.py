@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vigilog.operators import alerts, profiles
 from vigilog.operators import profilers as P
 from vigilog.operators.geo import blocks_from_networks, register_geo_functions
-from vigilog.sources import audit
+from vigilog.sources import access, audit
 from vigilog.sources.objects import lines_of, object_lines, object_rejects, read_objects
 from vigilog.streaming.inputs import replayed_objects
 
@@ -157,3 +157,36 @@ def test_shared_profile_lists_give_each_alert_its_own_profile(spark, monkeypatch
         found.selectExpr("profiler", "batch_id", "1L AS parts", "floor(batch_id / 4) AS block"), profile
     )
     assert held.filter("size(held) > 41").isEmpty()
+
+
+def test_full_access_lines(spark):
+    head = "own buck [06/Feb/2019:00:00:38 +0100] 1.2.3.4 me R1 REST.GET k"
+    lines = [
+        head + ' "GET /a b HTTP/1.1" 200 - x 12 - 3 "-" "a \\"q\\" \\\\ \\z"',
+        head,
+        "own buck [bad time] - - R2 OP -",
+        head + ' "open',
+        head + " [a [b] c",
+        'own buck [06/Feb/2019:00:00:38 +0000] 1.2.3.4 me "R 1" OP',
+        "",
+        None,
+    ]
+    table = spark.createDataFrame([(v,) for v in lines], "value string")
+    got = access.parse_full_lines(table).selectExpr(
+        "unix_timestamp(time) AS t", "ip", "requestUri", "httpStatus", "bytesSent", "objectSize", "referrer", "userAgent", "key"
+    )
+    first = (1549407638, "1.2.3.4")
+    assert [tuple(r) for r in got.collect()] == [
+        (*first, "GET /a b HTTP/1.1", 200, None, 12, "-", 'a "q" \\ \\z', "k"),
+        (*first, None, None, None, None, None, None, "k"),
+        (None, None, None, None, None, None, None, None, None),
+        (*first, '"open', None, None, None, None, None, "k"),
+        (*first, "[a", None, None, None, None, None, "k"),
+    ]
+    assert [tuple(r)[1:] for r in access.full_rejects(table).collect()] == [
+        (lines[5], "expected at least 8 fields, found 7"),
+        ("", "expected at least 8 fields, found 0"),
+        (None, "expected at least 8 fields, found 0"),
+    ]
+    long = head + " " + " ".join('"open[' + str(i) for i in range(200_000))
+    assert access.parse_full_lines(spark.createDataFrame([(long,)], "value string")).count() == 1

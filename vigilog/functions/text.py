@@ -19,3 +19,26 @@ def joined(values: Column) -> Column:
 def printed(value: Column) -> Column:
     """A value as it reads in a list."""
     return F.coalesce(value, F.lit("null"))
+
+
+def quoted_tokens(line: Column) -> Column:
+    """Tokens between white space, where ``[...]`` and ``"..."`` are one token each.
+
+    In quotes, a backslash escapes what follows it. A bracket or quote that does not close, or closes inside a
+    word, is part of a plain token. Possessive, and a bracket ends at the next one, so long lines need no backtracking.
+    """
+    return F.regexp_extract_all(
+        line, F.lit(r'(?<!\S)(?:\[[^\[\]]*+\]|"(?:[^"\\]++|\\.)*+"|\S++)(?!\S)'), F.lit(0)
+    )
+
+
+def token_text(token: Column) -> Column:
+    """What a token says: without its brackets or quotes and their escapes, null for a lone dash."""
+    bracketed = F.regexp_extract(token, r"^\[([^\[\]]*+)\]$", 1)
+    quoted = F.regexp_extract(token, r'(?s)^"((?:[^"\\]++|\\.)*+)"$', 1)
+    return (
+        F.when(token == "-", F.lit(None))
+        .when(token.rlike(r"^\[[^\[\]]*+\]$"), bracketed)
+        .when(token.rlike(r'(?s)^"(?:[^"\\]++|\\.)*+"$'), F.regexp_replace(quoted, r'\\(["\\])', "$1"))
+        .otherwise(token)
+    )

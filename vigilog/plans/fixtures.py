@@ -282,6 +282,34 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the whole grammar: by key modulo seven cut before the key, cut after it, cut after the size, dashes
+    for what may be missing, an agent with escaped quotes, all fields, and two fields that nobody knows."""
+    start = F.expr(
+        """concat('cust', o_custkey, ' bucket-', o_orderstatus, ' [',
+           date_format(o_orderdate, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] 10.', o_custkey % 256, '.', o_custkey % 7, '.',
+           1 + o_custkey % 200, ' user', o_custkey % 50, ' REQ', o_orderkey, ' REST.', replace(o_orderpriority, ' ', '-'))"""
+    )
+    key = F.expr("concat(' key/', o_orderkey)")
+    request = F.expr("""concat(' "GET /key/', o_orderkey, ' HTTP/1.1" ', 200 + o_custkey % 5, ' - ', o_orderkey * 3, ' ', o_orderkey)""")
+    agent = F.when(F.expr("o_orderkey % 7 = 4"), F.lit(' "say \\"hi\\" [1]"')).otherwise(F.lit(' "Agent/1 [x]"'))
+    rest = F.concat(
+        F.expr("""concat(' ', o_custkey, ' 7 "http://r/', o_custkey, '"')"""), agent,
+        F.lit(" - host= SigV4 AES AuthHeader b.example.com TLSv1.2 - Yes"),
+    )
+    dashes = F.lit(" -" * 18)
+    kind = F.col("o_orderkey") % 7
+    value = (
+        F.when(kind == 0, start)
+        .when(kind == 1, F.concat(start, key))
+        .when(kind == 2, F.concat(start, key, request))
+        .when(kind == 3, F.concat(start, key, dashes))
+        .when(kind == 6, F.concat(start, key, request, rest, F.lit(' new "two words"')))
+        .otherwise(F.concat(start, key, request, rest))
+    )
+    return table(spark, sf_dir, "orders").select(value.alias("value"))
+
+
 def notification_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 17th is malformed, in one of eight ways."""
     message = F.expr(

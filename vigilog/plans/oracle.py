@@ -514,3 +514,33 @@ sent AS (SELECT batch_id, count(*) AS sightings FROM shown JOIN versions USING (
       CASE WHEN entries IS NULL THEN 'missing or empty' END AS reason, coalesce(sightings, 0) AS sightings
     FROM batches LEFT JOIN sizes USING (batch_id) LEFT JOIN sent USING (batch_id)""",
 )
+
+_LATE = "o_orderkey % 7 IN (4, 5, 6)"
+_MID = "o_orderkey % 7 IN (2, 4, 5, 6)"
+ORACLE["access_full"] = _with(
+    ACCESS,
+    select=f"""
+    SELECT a."bucketOwner", a.bucket, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS time, a.ip, a.requester,
+      'REQ' || o_orderkey AS "requestId", a.operation, a.key,
+      CASE WHEN {_MID} THEN 'GET /key/' || o_orderkey || ' HTTP/1.1' END AS "requestUri",
+      CAST(CASE WHEN {_MID} THEN 200 + o_custkey % 5 END AS INTEGER) AS "httpStatus", CAST(NULL AS VARCHAR) AS "errorCode",
+      CAST(CASE WHEN {_MID} THEN o_orderkey * 3 END AS BIGINT) AS "bytesSent",
+      CAST(CASE WHEN {_MID} THEN o_orderkey END AS BIGINT) AS "objectSize",
+      CAST(CASE WHEN {_LATE} THEN o_custkey END AS BIGINT) AS "totalTime",
+      CAST(CASE WHEN {_LATE} THEN 7 END AS BIGINT) AS "turnAroundTime",
+      CASE WHEN {_LATE} THEN 'http://r/' || o_custkey END AS referrer,
+      CASE WHEN o_orderkey % 7 = 4 THEN 'say "hi" [1]' WHEN {_LATE} THEN 'Agent/1 [x]' END AS "userAgent",
+      CAST(NULL AS VARCHAR) AS "versionId", CASE WHEN {_LATE} THEN 'host=' END AS "hostId",
+      CASE WHEN {_LATE} THEN 'SigV4' END AS "signatureVersion", CASE WHEN {_LATE} THEN 'AES' END AS "cipherSuite",
+      CASE WHEN {_LATE} THEN 'AuthHeader' END AS "authenticationType",
+      CASE WHEN {_LATE} THEN 'b.example.com' END AS "hostHeader", CASE WHEN {_LATE} THEN 'TLSv1.2' END AS "tlsVersion",
+      CAST(NULL AS VARCHAR) AS "accessPointArn", CASE WHEN {_LATE} THEN 'Yes' END AS "aclRequired",
+      CASE WHEN o_orderkey % 7 = 6 THEN 'new "two words"' END AS extra
+    FROM acc a JOIN orders o USING (o_orderkey) WHERE o_orderkey % 7 > 0""",
+)
+ORACLE["access_full_rejects"] = _with(
+    ACCESS,
+    select="""SELECT 'access' AS source, "bucketOwner" || ' ' || bucket || ' ' || date || ' ' || ip || ' ' || requester ||
+      ' REQ' || o_orderkey || ' ' || operation AS line, 'expected at least 8 fields, found 7' AS reason
+    FROM acc WHERE o_orderkey % 7 = 0""",
+)

@@ -170,6 +170,16 @@ def access_distinct_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ACCESS_IP_SQL)
 
 
+def access_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the access log, the time as text of UTC."""
+    rows = access.parse_full_lines(fixtures.full_access_lines(spark, sf_dir))
+    return rows.withColumn("time", F.date_format(F.to_utc_timestamp("time", F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+
+
+def access_full_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.full_rejects(fixtures.full_access_lines(spark, sf_dir))
+
+
 def access_saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by way of log files and the saved table."""
     folder = run_folder(spark, "access")
@@ -438,6 +448,8 @@ QUERIES: dict[str, Query] = {
         audit_saved_table,
         access_parse,
         access_rejects,
+        access_full,
+        access_full_rejects,
         access_distinct_ip,
         access_saved_table,
         net_geo_networks,
