@@ -34,11 +34,14 @@ def quoted_tokens(line: Column) -> Column:
 
 def token_text(token: Column) -> Column:
     """What a token says: without its brackets or quotes and their escapes, null for a lone dash."""
-    bracketed = F.regexp_extract(token, r"^\[([^\[\]]*+)\]$", 1)
-    quoted = F.regexp_extract(token, r'(?s)^"((?:[^"\\]++|\\.)*+)"$', 1)
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    bracketed = F.startswith(token, F.lit("[")) & token.rlike(r"^\[[^\[\]]*+\]$")
+    quoted = F.startswith(token, F.lit('"')) & token.rlike(r'(?s)^"(?:[^"\\]++|\\.)*+"$')
+    escaped = F.contains(token, F.lit("\\"))
     return (
         F.when(token == "-", F.lit(None))
-        .when(token.rlike(r"^\[[^\[\]]*+\]$"), bracketed)
-        .when(token.rlike(r'(?s)^"(?:[^"\\]++|\\.)*+"$'), F.regexp_replace(quoted, r'\\(["\\])', "$1"))
+        .when(bracketed, inner)
+        .when(quoted & escaped, F.regexp_replace(inner, r'\\(["\\])', "$1"))
+        .when(quoted, inner)
         .otherwise(token)
     )

@@ -86,7 +86,9 @@ def parse_full_lines(lines: DataFrame) -> DataFrame:
 
     known = len(FULL_FIELDS)
     extra = F.when(F.size(tokens) > known, F.array_join(F.slice(tokens, F.lit(known + 1), F.size(tokens)), " "))
-    return lines.select(quoted_tokens(F.col("value")).alias("t")).filter(F.size("t") >= FULL_LEAST).select(
+    # By way of a generator, so that the filter is not pushed below the split, which would run twice.
+    split = lines.select(F.explode_outer(F.array(quoted_tokens(F.col("value")))).alias("t"))
+    return split.filter(F.size("t") >= FULL_LEAST).select(
         *(field(i, name) for i, name in enumerate(FULL_FIELDS)), extra.alias("extra")
     )
 
