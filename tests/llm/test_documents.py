@@ -160,9 +160,9 @@ def test_no_items_no_documents(make, docs, odd_docs, empty):
 # --- exact dedup ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("capacity,depth", [(4096, 20), (2, 6), (1, 3)])
-def test_exact_groups(docs, odd_docs, capacity, depth):
-    rows = exact_dedup.exact_groups(docs, capacity=capacity, max_depth=depth).collect()
+@pytest.mark.parametrize("capacity,depth,bits", [(4096, 20, 64), (2, 6, 64), (1, 3, 64), (2, 6, 2), (1, 3, 1)])
+def test_exact_groups(docs, odd_docs, capacity, depth, bits):
+    rows = exact_dedup.exact_groups(docs, capacity=capacity, max_depth=depth, key_bits=bits).collect()
     assert len(rows) == len(odd_docs)
     texts = dict(odd_docs)
     for r in rows:
@@ -178,6 +178,27 @@ def test_buckets_split_until_they_fit(make):
     assert index.directory.groupBy("bucket").agg({"depth": "max"}).count() >= 300 / 8
 
 
+def test_colliding_texts_are_chained(make):
+    docs = make([(i, f"text {i % 40}") for i in range(200)], SCHEMA)
+    index = exact_dedup.build_index(docs, key_bits=3)
+    links = index.entries.collect()
+    assert len(links) == 40 and {r["group_size"] for r in links} == {5}
+    chains = {}
+    for r in links:
+        chains.setdefault((r["bucket"], r["key"]), []).append(r["chain"])
+    assert len(chains) <= 8 and all(sorted(c) == list(range(1, len(c) + 1)) for c in chains.values())
+
+
+def test_exact_dedup_with_clashing_ids(make):
+    docs = make([(1, "a"), (1, "b"), (2, "A"), (2, "c"), (2, "c")], SCHEMA)
+    groups = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"])
+              for r in exact_dedup.exact_groups(docs).collect()}
+    a, b, c = (brute.sha(t) for t in "abc")
+    assert groups == {(1, a): (2, 2, False), (2, a): (2, 2, True), (1, b): (1, 1, True), (2, c): (2, 2, True)}
+    stays = exact_dedup.drop_exact_duplicates(docs).collect()
+    assert sorted(tuple(r)[:2] for r in stays) == [(1, "b"), (2, "A"), (2, "c"), (2, "c")]
+
+
 def test_exact_dedup_of_nothing_and_null_ids(make, docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     got = exact_dedup.exact_groups(make([(None, "a"), (None, "b"), (1, "b")], SCHEMA)).collect()

@@ -1,17 +1,20 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
 Texts are hashed to 64-bit keys. The directory maps the leading bits of a key to a bucket; a bucket
-that holds more than its capacity is split on one more bit, which doubles the directory there, until
-all fit. Owner tasks each hold a range of buckets as one sorted file of the index. Texts whose keys
-collide are chained within their bucket; equality is decided on the bytes of the normalised texts.
+that holds more keys than its capacity is split on one more bit, which doubles the directory there, until
+all fit. Texts reach their bucket through the directory. The owner task of a bucket, which is a range of keys,
+compares the bytes of the texts under each key, chains those that collide, and decides which document stays. A
+document finds its entry the same way: cell, bucket, key, then the link of the chain with its digest.
 
-How it scales: equal texts are merged on the map side before the only shuffle that carries text, so a
-text that a third of all rows repeat costs one row per map task. All other steps move fixed-size rows.
-The directory is a table, too; only its row counts reach the driver.
+How it scales: before texts are dealt to owners, those of equal bytes are merged on the map side and in
+``PARTS`` parts by id, so a text that a third of all rows repeat reaches its owner as ``PARTS`` rows at most. All
+other steps move fixed-size rows. The directory is a table with at most ``2 ** max_depth`` rows, which bounds its
+broadcast; only its row counts reach the driver.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; among equal texts the
 largest id stays, nulls being smallest; rows that repeat both id and text are one document and share
-its fate, each counted in ``group_size``. Other columns of the input are not read.
+its fate, each counted in ``group_size``; an id with several texts is judged for each text alone. Other columns
+of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ from vigilog.session import staged
 CAPACITY = 4096
 #: Most key bits the directory may use. Buckets at this depth chain whatever they hold.
 MAX_DEPTH = 20
+#: Parts by id in which equal texts are merged before they reach the owner of their bucket.
+PARTS = 16
 
 
 @dataclass(frozen=True)
 class HashIndex:
     directory: DataFrame  #: cell (the leading max_depth bits), bucket, depth
-    entries: DataFrame  #: bucket, key, sha, keep_id, group_size, chain
+    entries: DataFrame  #: bucket, key, chain, sha, keep_id, group_size
+    rows: DataFrame  #: bucket, key, sha, doc_id of every document
 
 
 def _leading(key: Column, bits: int) -> Column:
@@ -65,36 +71,50 @@ def build_directory(cells: DataFrame, capacity: int, max_depth: int) -> DataFram
         depth += 1
 
 
+def _key(norm: Column, key_bits: int) -> Column:
+    return F.shiftleft(F.xxhash64(norm), 64 - key_bits)
+
+
+def _digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def build_index(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
     max_depth: int = MAX_DEPTH,
+    key_bits: int = 64,
 ) -> HashIndex:
+    """The index of all texts. Fewer ``key_bits`` only make more keys collide."""
     norm = ascii_lower(F.col("text"))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", norm.alias("norm"))
-    # Grouping by the text itself compares bytes whenever hashes agree.
-    same = texts.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    entries = staged(
-        same.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"),
-        "entries",
-    )
-    cell = _leading(F.col("key"), max_depth)
-    cells = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.withColumn("key", _key(F.col("norm"), key_bits))
+    keyed = staged(texts.select("doc_id", "key", _digest(F.col("norm")).alias("sha")), "keys")
+    cell = _leading(F.col("key"), max_depth).alias("cell")
+    cells = keyed.select("key").distinct().groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
     directory = build_directory(cells, capacity, max_depth)
-    owned = (
-        entries.withColumn("cell", cell)
-        .join(directory.select("cell", "bucket"), "cell")
-        .drop("cell")
-        .repartitionByRange("bucket")
+    # At most 2 ** max_depth rows, whatever the number of documents.
+    routes = F.broadcast(directory.select("cell", "bucket"))
+
+    def routed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cell", cell).join(routes, "cell").drop("cell")
+
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")
+    merged = routed(texts).groupBy("bucket", "key", "norm", part).agg(
+        F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")
+    )
+    # Whole buckets go to one owner, which groups by the bytes of the text, not by a digest.
+    owned = merged.drop("part").repartition("bucket").groupBy("bucket", "key", "norm").agg(
+        F.max("top").alias("keep_id"), F.sum("n").alias("group_size")
     )
+    links = owned.select("bucket", "key", _digest(F.col("norm")).alias("sha"), "keep_id", "group_size")
     chain = F.row_number().over(
         Window.partitionBy("bucket", "key").orderBy(F.desc_nulls_last("keep_id"), "sha")
     )
-    return HashIndex(directory, staged(owned.withColumn("chain", chain), "index"))
+    entries = links.withColumn("chain", chain).sortWithinPartitions("bucket", "key")
+    return HashIndex(directory, staged(entries, "index"), routed(keyed))
 
 
 def exact_groups(
@@ -103,20 +123,11 @@ def exact_groups(
     text_col: str = "text",
     capacity: int = CAPACITY,
     max_depth: int = MAX_DEPTH,
+    key_bits: int = 64,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, id_col, text_col, capacity, max_depth)
-    norm = ascii_lower(F.col("text"))
-    rows = (
-        id_and_text(docs, id_col, text_col)
-        .select("doc_id", norm.alias("norm"))
-        .select(
-            "doc_id",
-            F.xxhash64("norm").alias("key"),
-            F.unhex(F.sha2("norm", 256)).alias("sha"),
-        )
-    )
-    found = rows.join(index.entries, ["key", "sha"])
+    index = build_index(docs, id_col, text_col, capacity, max_depth, key_bits)
+    found = index.rows.join(index.entries, ["bucket", "key", "sha"])
     return found.select(
         "doc_id",
         "keep_id",
@@ -131,5 +142,7 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """The documents that stay, with all their columns."""
     index = build_index(docs, id_col, text_col)
-    keep = index.entries.select(F.col("keep_id").alias("__keep_id"))
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__keep_id"]), "left_semi")
+    keep = index.entries.select(F.col("keep_id").alias("__keep_id"), F.col("sha").alias("__sha"))
+    norm = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
+    stays = docs[id_col].cast("long").eqNullSafe(keep["__keep_id"]) & (_digest(norm) == keep["__sha"])
+    return docs.join(keep, stays, "left_semi")
