@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from vigilog.llm import (
     chaining,
@@ -143,6 +144,40 @@ def test_pieces_of_a_long_text_overlap(monkeypatch):
     assert (n, sum(b - a for a, b in runs), len(items)) == want[:3]
 
 
+def test_hits_are_confirmed_where_hashes_collide(monkeypatch):
+    class Weak(decontaminate.RangeHash):
+        def of(self, starts, ends):
+            return super().of(starts, ends) & np.uint64(3)
+
+    monkeypatch.setattr(decontaminate, "RangeHash", Weak)
+    items = {k: " ".join(f"w{(i * k) % 11}" for i in range(18)) for k in range(1, 6)}
+    windows = decontaminate.Windows([(k, t.encode()) for k, t in items.items()], 13)
+    texts = [f"z{k} {t} y" for k, t in items.items()] + [" ".join(f"v{i}" for i in range(40)), "", "w1 w2"]
+    for (n, runs, found), text in zip(
+        decontaminate._scan_many([t.encode() for t in texts], windows, 13), texts, strict=True
+    ):
+        assert (n, sum(b - a for a, b in runs), len(found)) == brute.contamination(text, items)[:3]
+
+
+def test_a_block_is_as_small_as_stated():
+    rng = random.Random(3)
+    items = [(k, " ".join("w" * rng.randint(3, 7) + str(rng.randint(0, 9)) for _ in range(400)).encode())
+             for k in range(500)]
+    windows = decontaminate.Windows(items, 13)
+    n_words = sum(t.count(b" ") + 1 for _, t in items)
+    assert windows.nbytes <= sum(len(t) for _, t in items) + 24 * n_words + 8 * len(items) + 64
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 32])
+def test_items_without_an_id_hit_but_are_not_listed(make, block_bytes):
+    docs = make([(1, "one two three"), (2, "four five"), (3, "six")], SCHEMA)
+    tests = make([(None, "one two three"), (7, "four five"), (None, "four five")], "item_id long, text string")
+    got = by_id(decontaminate.contamination_report(docs, tests, block_bytes=block_bytes))
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [
+        (3, 0, True), (2, 1, True), (0, 0, False),
+    ]
+
+
 def test_spans_are_cut(make):
     docs = make([(1, "Keep this: one, two THREE. And that."), (2, None)], SCHEMA)
     cut = decontaminate.cut_spans(docs, make([(2, "One, TWO three!")], "item_id long, text string"))

@@ -5,11 +5,15 @@ reduces its texts to words joined by single spaces, takes the hash of every word
 running sum over the bytes, looks the hashes up in a sorted array, and confirms each hit on the bytes.
 
 The set is broadcast, so its size is proven first: items are counted in bytes and dealt into as many
-blocks as keep each below ``block_bytes``. Each block is broadcast in turn to a scan of its own; what the
-scans find in one document is merged by document. One block, the usual case, needs no shuffle at all.
+blocks as keep each at ``block_bytes`` on average. A block is sent as its words and 24 bytes a window in sorted
+arrays: 16 MiB of text are at most 16 MiB of words and, at the shortest words, 8 Mi windows; English text has about
+six bytes a word and takes 85 MiB. Each block is broadcast in turn to a scan of its own, whose finds are written
+before the next block is read; what the scans find in one document is merged by document. One block, the usual case,
+needs no shuffle at all.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item without words has
-no window; repeated rows are judged each alone; equal item ids are counted once; an empty benchmark
+no window; repeated rows are judged each alone; equal item ids are counted once; the text of an item without an id
+hits, but is not listed among the items; an empty benchmark
 hits nothing. Long texts are processed in pieces that overlap by a window. Other columns are not read.
 """
 
@@ -67,28 +71,65 @@ def words_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class Windows:
-    """The windows of a block of items, by hash and by bytes."""
+    """The windows of a block of items: sorted hashes, and where in the block's words one of each lies.
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.items_of: dict[bytes, set[int]] = defaultdict(set)
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
+    Arrays only, 24 bytes a window beside the words, so that a block has a known size in every worker. Windows of
+    other bytes that share a hash, practically none, are kept by their bytes.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes]], width: int):
+        self.ids = np.array(sorted({item for item, _ in items if item is not None}), np.int64)
+        number = {item: k for k, item in enumerate(self.ids.tolist())}
+        parts, offset = [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
         for item, text in items:
             joined, starts, ends = words_of(text or b"")
             if not len(starts):
                 continue
             size = min(width, len(starts))
             a, b = starts[: len(starts) - size + 1], ends[size - 1 :]
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                self.items_of[joined[i:j]].add(item)
-            hashes[size].append(RangeHash(np.frombuffer(joined, np.uint8)).of(a, b))
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in hashes.items()}
+            hashes = RangeHash(np.frombuffer(joined, np.uint8)).of(a, b)
+            owner = np.full(len(a), number.get(item, -1), np.int32)
+            found[size].append((hashes, (a + offset).astype(np.int32), (b + offset).astype(np.int32), owner))
+            parts.append(joined)
+            offset += len(joined)
+        self.words = b"".join(parts)
+        self.sizes = {
+            size: self._indexed(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+            for size, rows in found.items()
+        }
+
+    def _indexed(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple:
+        """(hashes, start, end, first owner, owners, windows by (hash, bytes) that share a hash)."""
+        order = np.lexsort((owner, hashes))
+        hashes, a, b, owner = hashes[order], a[order], b[order], owner[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        first = np.flatnonzero(new)
+        lead = first[np.cumsum(new) - 1]
+        other: dict[tuple[int, bytes], set[int]] = defaultdict(set)
+        same = np.ones(len(hashes), bool)
+        for i in np.flatnonzero(~new).tolist():
+            window = self.words[a[i] : b[i]]
+            if window != self.words[a[lead[i]] : b[lead[i]]]:
+                same[i] = False
+                other[int(hashes[i]), window].add(int(owner[i]))
+        group, owner = (np.cumsum(new) - 1)[same & (owner >= 0)], owner[same & (owner >= 0)]
+        once = np.ones(len(group), bool)
+        once[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+        stops = np.searchsorted(group[once], np.arange(len(first) + 1)).astype(np.int32)
+        return hashes[first], a[first], b[first], stops, owner[once], dict(other)
+
+    @property
+    def nbytes(self) -> int:
+        arrays = sum(c.nbytes for index in self.sizes.values() for c in index[:5])
+        return arrays + len(self.words) + self.ids.nbytes
 
     def hits(self, joined: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
         """(first word, words, items) of every window that occurs, in no order."""
-        if not len(starts) or not self.hashes:
+        if not len(starts) or not self.sizes:
             return
         ranges = RangeHash(np.frombuffer(joined, np.uint8))
-        for size, known in self.hashes.items():
+        for size, (known, start, end, first, owners, other) in self.sizes.items():
             if size > len(starts):
                 continue
             a, b = starts[: len(starts) - size + 1], ends[size - 1 :]
@@ -96,8 +137,11 @@ class Windows:
             at = np.searchsorted(known, got)
             at[at == len(known)] = 0
             for i in np.flatnonzero(known[at] == got).tolist():
-                if items := self.items_of.get(joined[a[i] : b[i]]):
-                    yield i, size, items
+                k, window = at[i], joined[a[i] : b[i]]
+                if window == self.words[start[k] : end[k]]:
+                    yield i, size, self.ids[owners[first[k] : first[k + 1]]].tolist()
+                elif (mine := other.get((int(got[i]), window))) is not None:
+                    yield i, size, [int(self.ids[o]) for o in mine if o >= 0]
 
 
 def _pieces(data: bytes, width: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
@@ -121,7 +165,7 @@ def _scan_one(data: bytes, windows: Windows, width: int) -> tuple[int, list, set
         n = before + len(starts)
         for i, size, got in windows.hits(joined, starts, ends):
             spans.append((before + i, before + i + size))
-            items |= got
+            items.update(got)
     return n, merged(spans), items
 
 
@@ -152,7 +196,7 @@ def _scan_many(texts: list[bytes], windows: Windows, width: int) -> list[tuple]:
     for i, size, got in windows.hits(b"\n".join(joined), starts, ends):
         doc = int(np.searchsorted(first, i, "right")) - 1
         spans[doc].append((i - first[doc], i - first[doc] + size))
-        items[doc] |= got
+        items[doc].update(got)
     return [(int(n), merged(spans[k]), items[k]) for k, n in enumerate(counts)]
 
 
@@ -216,9 +260,11 @@ def find_contamination(
         windows = spark.sparkContext.broadcast(
             Windows([(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], width)
         )
-        scans.append(
-            rows.mapInArrow(lambda batches, w=windows: _scan(batches, w.value, width), _FOUND)
-        )
+        scan = rows.mapInArrow(lambda batches, w=windows: _scan(batches, w.value, width), _FOUND)
+        if blocks > 1:
+            scan = staged(scan, "scan")
+            windows.unpersist()
+        scans.append(scan)
     found = scans[0]
     if blocks > 1:
         for scan in scans[1:]:
