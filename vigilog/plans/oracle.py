@@ -544,3 +544,31 @@ ORACLE["access_full_rejects"] = _with(
       ' REQ' || o_orderkey || ' ' || operation AS line, 'expected at least 8 fields, found 7' AS reason
     FROM acc WHERE o_orderkey % 7 = 0""",
 )
+
+_AWAY = """, shown AS (
+  SELECT profiler, batch_id, value, lag(batch_id) OVER w AS previous, lead(batch_id) OVER w AS following
+  FROM seen WHERE kind = 'deviation' WINDOW w AS (PARTITION BY profiler, value ORDER BY batch_id))"""
+ORACLE["profile_expired"] = profiled(
+    f"""{_AWAY} SELECT profiler, value, batch_id AS last_batch, batch_id + 22 AS expired_at, following AS returned_at
+    FROM shown WHERE coalesce(following, (SELECT max(batch_id) FROM shown)) > batch_id + 21"""
+)
+ORACLE["alerts_expiring"] = profiled(
+    f"""{_AWAY}, n AS (SELECT profiler, batch_id, count(*) AS n_current, count(*) FILTER (WHERE previous IS NULL) AS n_new,
+      count(*) FILTER (WHERE batch_id > previous + 21) AS n_returned FROM shown GROUP BY 1, 2)
+    SELECT n.*, n_new + n_returned > 0 AND batch_id > baseline AS alerts FROM n JOIN base USING (profiler)"""
+)
+_ACTORS = "SELECT min({b}) AS batch_id, principal AS actor, ip AS address FROM ev JOIN exits USING (ip) GROUP BY 2, 3"
+_ROOT = """SELECT {b} AS batch_id, 'e' || event_id AS event_id, event_type || '.amazonaws.com' AS event_source,
+  event_type AS event_name, account FROM ev WHERE principal = account"""
+for _name, _select, _batch in (
+    ("alerts_tor_actor", _ACTORS, "batch_id"),
+    ("stream_tor_actor", _ACTORS, ARRIVAL),
+    ("alerts_root", _ROOT, "batch_id"),
+    ("stream_root_alerts", _ROOT, ARRIVAL),
+):
+    ORACLE[_name] = _with(EVENT, EXITS, select=_select.format(b=_batch))
+ORACLE["stream_expired"] = profiled(
+    f"""{_AWAY} SELECT profiler, value, batch_id AS last_batch
+    FROM shown WHERE coalesce(following, (SELECT max(batch_id) FROM shown)) > batch_id + 21""",
+    ["accessKeyId", "arn", "principalId", "sourceIPAddress"],
+)

@@ -18,6 +18,8 @@ from vigilog.operators.alerts import (
     sighting_messages,
 )
 from vigilog.operators.exits import from_exit_nodes, with_exit_flag
+from vigilog.operators import expiry
+from vigilog.operators.actors import root_uses, sighted_actors
 from vigilog.operators.frequency import frequencies, frequency_alerts
 from vigilog.operators.geo import geo_lookup, read_blocks, register_geo_functions
 from vigilog.plans import fixtures
@@ -369,6 +371,30 @@ def alerts_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency_alerts(staged(counts, "frequencies"))
 
 
+#: Batches that a value may stay away in the queries on profiles that expire.
+TTL = 20
+
+
+def profile_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that left their profile because they stayed away, and when they came back."""
+    return expiry.expired_values(seen(spark, sf_dir, ALL_PROFILERS), TTL)
+
+
+def alerts_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch shows against profiles whose values expire."""
+    return expiry.expiring_counts(seen(spark, sf_dir, ALL_PROFILERS), TTL)
+
+
+def alerts_tor_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit nodes in use, once per actor."""
+    return sighted_actors(fixtures.audit_event_texts(spark, sf_dir), fixtures.exit_list(spark, sf_dir))
+
+
+def alerts_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of a root account, with its batch."""
+    return root_uses(fixtures.audit_event_texts(spark, sf_dir), "batch_id")
+
+
 def sent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts and messages per profiler and batch, as a table: running totals read it twice."""
     return staged(profiles.increments(seen(spark, sf_dir, ALL_PROFILERS)), "sent")
@@ -430,6 +456,18 @@ def stream_exit_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.exit_reloads(spark, sf_dir)
 
 
+def stream_tor_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.watched_arrivals(spark, sf_dir, root=False)
+
+
+def stream_root_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.watched_arrivals(spark, sf_dir, root=True)
+
+
+def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.expired_arrivals(spark, sf_dir, TTL)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -497,5 +535,12 @@ QUERIES: dict[str, Query] = {
         stream_replay_rejects,
         stream_ingested_counts,
         stream_exit_reload,
+        profile_expired,
+        alerts_expiring,
+        alerts_tor_actor,
+        alerts_root,
+        stream_tor_actor,
+        stream_root_alerts,
+        stream_expired,
     )
 }
