@@ -335,6 +335,43 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.98
 
 
+def test_quality_against_a_plain_discriminant(make):
+    rng = random.Random(9)
+    words = {0: ["BUY", "now!!!", "$$$", "9", "click"], 1: ["the", "longer", "sentence", "reads", "well.", "Evenly,"]}
+    rows, labels = [], {}
+    for i in range(400):
+        labels[i] = int(rng.random() < 0.6)
+        pick = words[labels[i]] * 3 + words[1 - labels[i]]
+        rows.append((i, " ".join(rng.choice(pick) for _ in range(rng.randint(1, 60))) or None))
+    rows += [(1000, None), (1001, ""), (1002, "word " * 5000)]
+    scored = quality.quality_scores(make(rows, SCHEMA), make(list(labels.items()), "doc_id long, quality int")).collect()
+
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in rows}
+    learned = {k: np.array([x[i] for i in labels if labels[i] == k and zlib.crc32(str(i).encode()) % 5]) for k in (0, 1)}
+    both = np.concatenate([learned[0], learned[1]])
+    centre, scale = both.mean(0), np.sqrt(np.maximum(both.var(0), 1e-12))
+    z = {k: (v - centre) / scale for k, v in learned.items()}
+    within = {k: np.cov(v, rowvar=False, bias=True) for k, v in z.items()}
+    n = {k: len(v) for k, v in z.items()}
+    pooled = (n[0] * within[0] + n[1] * within[1]) / len(both)
+
+    def density(k, v):
+        cov = (1 - quality.TO_POOLED) * within[k] + quality.TO_POOLED * pooled
+        cov = (1 - quality.TO_SPHERE) * cov + quality.TO_SPHERE * np.trace(cov) / len(cov) * np.eye(len(cov))
+        cov += 1e-9 * np.eye(len(cov))
+        away = v - z[k].mean(0)
+        return -0.5 * (np.linalg.slogdet(cov)[1] + away @ np.linalg.solve(cov, away))
+
+    assert len(scored) == len(rows)
+    for r in scored:
+        v = (x[r["doc_id"]] - centre) / scale
+        odds = np.log((n[1] + 1) / (n[0] + 1)) + density(1, v) - density(0, v)
+        want = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        assert r["score"] == pytest.approx(want, rel=1e-3, abs=1e-6), r
+        assert r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_of_odd_tables(make, docs, odd_docs, empty):
     labels = make([(3, 1), (4, 0), (5, None), (6, 7), (3, 0), (None, 1)], "doc_id long, quality int")
     scored = quality.quality_scores(docs, labels).collect()
