@@ -1,4 +1,4 @@
-"""Expiry by session windows: against the rule in plain Python."""
+"""Expiry by session windows, against the rule in plain Python; arrivals of many objects."""
 
 import json
 import random
@@ -7,6 +7,8 @@ from frames import rows
 from pyspark.sql import functions as F
 
 from vigilog.operators import profilers as P
+from vigilog.plans.queries import QUERIES
+from vigilog.streaming import replay
 from vigilog.streaming.expiry import EXPIRED, _lived, expired_stream
 
 NOW = {"availableNow": True}
@@ -58,3 +60,17 @@ def test_expired_sessions_against_the_rule(spark, tmp_path, capsys):
         wanted += [("principalId", value, t) for t in [*ends, state.get[0]]]
     got = sorted(rows(spark.read.schema(EXPIRED).parquet(f"{tmp_path}/out")))
     assert got == sorted(wanted)
+
+
+def test_an_arrival_of_many_objects_is_one_batch(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "run_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    # Adaptive execution would make one small object of each arrival.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(QUERIES["stream_ingested_counts"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert [b for b, _ in got] == list(range(6)) and sum(n for _, n in got) == events.count()
+    objects = list(tmp_path.glob("ingested/objects/**/*.json.gz"))
+    assert len(objects) > 6  # the tasks write and read an arrival together
