@@ -1,4 +1,4 @@
-"""Expiry by session windows, against the rule in plain Python; arrivals of many objects."""
+"""Expiry by session windows, against the rule in plain Python; arrivals of many objects, made once."""
 
 import json
 import random
@@ -74,3 +74,20 @@ def test_an_arrival_of_many_objects_is_one_batch(spark, sf_dir, tmp_path, monkey
     assert [b for b, _ in got] == list(range(6)) and sum(n for _, n in got) == events.count()
     objects = list(tmp_path.glob("ingested/objects/**/*.json.gz"))
     assert len(objects) > 6  # the tasks write and read an arrival together
+
+
+def test_the_replay_makes_its_events_once(spark, sf_dir, monkeypatch):
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    purposes = []
+
+    def staged(frame, purpose):
+        purposes.append(purpose)
+        return frame.limit(1000)
+
+    monkeypatch.setattr(replay, "staged", staged)
+    monkeypatch.setattr(replay, "start_analyzer", lambda *given, **named: Ended())
+    replay.replayed(spark, sf_dir)
+    assert purposes == ["arrivals", "blocks", "nodes"]
