@@ -535,6 +535,21 @@ def test_edited_passages_of_everyday_phrases_are_found(make, copies):
     assert not any(got[k]["spans"] for k in range(2, len(rows)))
 
 
+def test_passages_of_which_every_run_is_frequent_are_found(make):
+    """Whole runs between the edits stand in many other texts, which hold no passage and are the hubs of their seeds."""
+    passage = [f"word{k}" for k in range(80)]
+    edited = [f"edit{k}" if k % 10 == 9 else w for k, w in enumerate(passage)]
+    rows = [(0, " ".join(["left", *passage])), (1, " ".join([*edited, "right"]))]
+    for copy in range(30):
+        for k in range(0, 80, 10):
+            own = [f"own{copy}x{k}x{i}" for i in range(60)]
+            rows.append((len(rows), " ".join([*own, *passage[k : k + 10], *own[::-1]])))
+    got = by_id(chaining.passage_report(make(rows, SCHEMA)))
+    assert len(_covered(got[0]["spans"])) >= 79 and len(_covered(got[1]["spans"])) >= 79
+    assert [got[k]["partner_id"] for k in (0, 1)] == [1, 0]
+    assert all(not got[k]["spans"] and got[k]["n_links"] == 0 for k in range(2, len(rows)))
+
+
 def test_exact_repeats_are_covered(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.select("doc_id", "text").collect()}
